@@ -61,3 +61,14 @@ def words_of(c: Column, separators: str = BLANKS) -> Column:
 def text_hash() -> Column:
     """With doc_id this names a row up to exact repeats, which get equal results from every operator."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row; a bare reference inside a lambda would be computed each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def split_words(c: Column) -> Column:
+    """The blank-separated words of a text, without a lambda; none for null or blank texts."""
+    bare = F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANKS))

@@ -12,11 +12,12 @@ block may be partly filled; the id count says where it ends. Every block decodes
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,6 @@ BLOCK = 1024
 SEGMENT = 262_144
 END_ID = 2
 _U = np.uint64
-_STOPS = re.compile(rb"(?<=[a-z])[.,]+(?=[\x20\x09-\x0D]|\Z)")
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,41 +157,73 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remember = remember
+        model = json.loads(self.tokenizer.to_str())["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.lens: list[int] = []
-        self.used, self.flat, self.starts, self.sizes = 0, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    @staticmethod
-    def _chunks(text: bytes) -> list[bytes]:
-        return text.split() if b"<|" in text else _STOPS.sub(rb" \g<0>", text.lower()).split()
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _look_up(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(chunks, letters first; all their ids; counts). A chunk of letters is one piece to the pre-tokenizer, whose
+        last id alone is a word end, so such chunks are encoded in runs and cut there."""
+        plain = [c.decode() for c in chunks]
+        alpha = [c for c, p in zip(chunks, plain) if p.isalpha()] if self.ends is not None else []
+        runs = [b" ".join(alpha[i : i + 256]).decode() for i in range(0, len(alpha), 256)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1) if alpha else np.zeros(0, np.int64)
+        if len(sizes) != len(alpha):
+            raise AssertionError("a run of letters was not one piece")
+        met = set(alpha)
+        rest = [c for c in chunks if c not in met]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+        return alpha + rest, np.concatenate([ids, flat]), np.concatenate([sizes, np.fromiter(map(len, lists), np.int64, len(lists))])
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by END_ID; counts)."""
         if len(self.known) > self.remember or len(self.flat) > 8 * self.remember:
             self._reset()
-        split = [self._chunks(t or b"") for t in texts]
-        known = self.known
-        new = [c for c in set().union(*split) if c not in known]
-        if new:
-            flat = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
-            known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
-            sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, *flat])
-        end = len(self.sizes)
-        sizes, starts, flat = np.append(self.sizes, 1), np.append(self.starts, len(self.flat)), np.append(self.flat, np.uint32(END_ID))
-        parts = [np.fromiter(map(known.__getitem__, s), np.int64, len(s)) for s in split]
-        chunks = np.concatenate([x for p in parts for x in (p, np.array([end]))])
-        took = sizes[chunks]
+        split = [(t if b"<|" in (t or b"") else (t or b"").lower()).split() for t in texts]
+        known, words = self.known, list(chain.from_iterable(split))
+        found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(found < 0).tolist()
+        if missed:
+            new = {words[i] for i in missed}
+            # letters and a stop after them are separate pieces
+            stems = {c: s for c in new if c[-1:] in b".," and (s := c[:-1])[-1:].isalpha()}
+            if stems:
+                new = {*new, *stems.values(), b".", b","} - known.keys() - stems.keys()
+            self._add(*self._look_up(list(new)))
+            if stems:
+                pairs = np.array([known[x] for c, s in stems.items() for x in (s, c[-1:])])
+                self._add(list(stems), self._ids(pairs), self.sizes[pairs].reshape(-1, 2).sum(1))
+            found[missed] = [known[words[i]] for i in missed]
+        ends = np.cumsum([len(p) for p in split])
+        took = np.insert(self.sizes[found], ends, 1)
+        upto = np.cumsum(took)
+        last = upto[ends + np.arange(len(ends))]
+        ids = np.full(upto[-1], END_ID, np.uint32)
+        text = np.ones(len(ids), bool)
+        text[last - 1] = False
+        ids[text] = self._ids(found)
+        return ids, np.diff(np.r_[0, last])
+
+    def _add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+
+    def _ids(self, chunks: np.ndarray) -> np.ndarray:
+        took = self.sizes[chunks]
         upto = np.cumsum(took)
-        ids = flat[np.repeat(starts[chunks] - (upto - took), took) + np.arange(upto[-1])]
-        last = np.cumsum([len(p) + 1 for p in parts]) - 1
-        return ids, np.diff(np.r_[0, upto[last]])
+        return self.flat[np.repeat(self.starts[chunks] - (upto - took), took) + np.arange(took.sum())]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json") -> None:
