@@ -208,22 +208,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     """docs without benchmark passages: spans of at least `window` matched words (or whole shorter items) are cut
     from the texts; documents with more than max_coverage of their words hit go. Columns stay; n_chars, if there,
     is counted anew for texts that were cut. Untouched rows keep their text byte for byte."""
-    cols = docs.columns
     hits = F.aggregate("spans", F.lit(0), lambda s, x: s + x[1] - x[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("text")
-            spans = batch.column(batch.num_columns - 1).to_pylist()
-            texts = [x.as_py() if not s else cut_words(x.as_py().encode(), s).decode() for x, s in zip(batch.column(at), spans)]
-            arrays = list(batch.columns[:-1])
-            arrays[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names[:-1])
-
-    matched = match_benchmark(docs, benchmark, window).where(hits <= max_coverage * F.col("n_words"))
-    kept = matched.select(*cols, "spans")
-    out = kept.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else out
+            spans = batch.column(2).to_pylist()
+            texts = [x.as_py() if not s else cut_words(x.as_py().encode(), s).decode() for x, s in zip(batch.column(1), spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(bool, spans)), pa.bool_())], ["__row", "text", "__cut"])
+
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others, F.lit(None).cast("int").alias("__none")).alias("__row"), "text")
+    kept = match_benchmark(rows, benchmark, window).where(hits <= max_coverage * F.col("n_words")).select("__row", "text", "spans")
+    fields = kept.select("__row", "text").schema
+    out = kept.mapInArrow(run, fields.add("__cut", "boolean"))
+
+    def column(c: str):
+        if c == "n_chars":
+            return F.when(F.col("__cut"), F.length("text")).otherwise(F.col("__row.n_chars")).cast(docs.schema[c].dataType)
+        return F.col("text") if c == "text" else F.col(f"__row.`{c}`")
+
+    return out.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

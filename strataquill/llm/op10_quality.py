@@ -76,9 +76,9 @@ def quality_filter(docs: DataFrame, host: str = "source", limit: float = HOST_LI
     Two passes over the texts rather than one and a shuffle of them. Repeated rows are judged alike and stay."""
     verdicts = host_verdicts(features(docs).select(host, "failed"), host, limit)
     bad = verdicts.where("rejected").select(F.col("host").alias("__host"))
-    cols = docs.columns
-    kept = features(docs.withColumn("__source", F.coalesce(F.col(host), F.lit("")))).where(~F.col("base_failed"))
-    return kept.join(bad, F.col("__source") == F.col("__host"), "left_anti").select(*cols)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text", F.coalesce(F.col(host), F.lit("")).alias("__source"))
+    kept = features(rows).where(~F.col("base_failed"))
+    return kept.join(bad, F.col("__source") == F.col("__host"), "left_anti").select("__row.*")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
