@@ -19,4 +19,12 @@ def normalised(a: Column) -> Column:
 def hashed_bag(tokens: Column, dims: int = 64) -> Column:
     """Unit vector of token counts by crc32 modulo dims: a deterministic stand-in for a text encoder."""
     slots = F.transform(tokens, lambda t: (F.crc32(t) % dims).cast("int"))
-    return normalised(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double")))
+
+    def counts(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+
+    def unit(v: Column) -> Column:
+        return normalised(v)
+
+    # arrays of one element bind each value once; a bare reference in a lambda would be computed for each element
+    return F.element_at(F.transform(F.transform(F.array(slots), counts), unit), 1)

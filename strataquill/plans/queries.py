@@ -202,10 +202,10 @@ def reflow_blocks(spark, sf):
 
 
 SENT = r"""pa AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS p, unnest(string_split(text, chr(10) || chr(10))) AS para FROM documents),
-pb AS (SELECT *, coalesce(sum(length(para) + 2) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM pa),
-pc AS (SELECT doc_id, p, at, string_split(regexp_replace(para, '([.!?])(\s+)', '\1␞\2', 'g'), '␞') AS x FROM pb),
-pd AS (SELECT doc_id, p, at, unnest(range(len(x))) AS i, unnest(x) AS piece FROM pc),
-pe AS (SELECT *, at + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, p ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM pd),
+pb AS (SELECT *, coalesce(sum(length(para) + 2) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0 FROM pa),
+pc AS (SELECT doc_id, p, p0, string_split(regexp_replace(para, '([.!?])(\s+)', '\1␞\2', 'g'), '␞') AS x FROM pb),
+pd AS (SELECT doc_id, p, p0, unnest(range(len(x))) AS i, unnest(x) AS piece FROM pc),
+pe AS (SELECT *, p0 + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, p ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM pd),
 sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY off) - 1 AS sent_no, (off + CASE WHEN i > 0 THEN length(piece) - length(regexp_replace(piece, '^\s+', '')) ELSE 0 END)::BIGINT AS start, (off + length(piece))::BIGINT AS "end" FROM pe WHERE regexp_matches(piece, '\S'))"""
 
 
