@@ -226,6 +226,10 @@ class Encoder:
         return self.flat[np.repeat(self.starts[chunks] - (upto - took), took) + np.arange(took.sum())]
 
 
+#: One encoder for each tokenizer in a Python worker: later tasks find the chunks that earlier ones met.
+_encoders: dict[str, Encoder] = {}
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json") -> None:
     """Encode docs (doc_id, text) and write them under path in ascending doc_id order (nulls first; ties by text).
 
@@ -236,12 +240,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        from strataquill.llm.op02_tokens import _encoders  # the worker's own, not a copy sent with the task
+
         where = tokenizer
         if os.sep not in where:
             import public_tokenizers
 
             where = public_tokenizers.path(where)
-        encoder, shard, seg = Encoder(where), TaskContext.get().partitionId(), 0
+        if where not in _encoders:
+            _encoders[where] = Encoder(where)
+        encoder, shard, seg = _encoders[where], TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in _slices(batch):
                 ids, counts = encoder.encode(rows.column(1).cast(pa.binary()).to_pylist())
