@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import text as T
@@ -256,8 +256,6 @@ def chunk_fixed_invariants(spark, sf):
     """Fixed chunks of every document: exact offsets, no letter left out, no chunk too long."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     chunks = segment.check_offsets(segment.chunk_fixed(docs, 1000, 150), docs)
-    from pyspark.sql import Window
-
     gap = F.col("start") > F.coalesce(F.max("end").over(Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     holes = chunks.withColumn("gap", gap).withColumn("before", F.coalesce(F.max("end").over(Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     blank = holes.join(docs.withColumnRenamed("text", "t"), "doc_id").withColumn("ok", ~F.col("gap") | (F.trim(F.regexp_replace(F.expr("substring(t, before + 1, start - before)"), r"\s", "")) == ""))
@@ -424,11 +422,11 @@ def error_classes(spark, sf):
     return table(spark, sf, "events").select("event_id", T.is_transient(F.col("props")).alias("transient"), T.is_refusal(F.col("props")).alias("refusal"))
 
 
-@query("""SELECT event_type, quantile_cont(value, 0.25::DOUBLE) AS q1, quantile_cont(value, 0.5::DOUBLE) AS q2, quantile_cont(value, 0.75::DOUBLE) AS q3, min(value) AS low, max(value) AS high, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT event_type, round(quantile_cont(value, 0.25::DOUBLE), 6) AS q1, round(quantile_cont(value, 0.5::DOUBLE), 6) AS q2, round(quantile_cont(value, 0.75::DOUBLE), 6) AS q3, min(value) AS low, max(value) AS high, count(*) AS n FROM events GROUP BY 1""")
 def box_stats(spark, sf):
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = table(spark, sf, "events").groupBy("event_type").agg(q.alias("q"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
-    return out.select("event_type", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)], "low", "high", "n")
+    return out.select("event_type", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)], "low", "high", "n")
 
 
 @query("""SELECT conv_id, max(CASE WHEN role = 'user' THEN length(text) END) AS "user", max(CASE WHEN role = 'assistant' THEN length(text) END) AS assistant FROM conversations GROUP BY 1""")
