@@ -418,7 +418,7 @@ def test_op1(spark, corpus):
 def test_op1_held_out_accuracy(spark):
     from strataquill.llm.op01_toxicity import op1_toxicity
 
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"  # sf0.01 has only six held-out toxic rows
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     rows = [(r.score, labels[r.doc_id]) for r in op1_toxicity(spark, folder).collect() if r.held_out and r.doc_id in labels]
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
