@@ -106,7 +106,7 @@ def gold_span_locate(spark, sf):
 
 def _hits(spark, sf, k=10):
     chunks = _chunks(spark, sf)
-    return search.bm25(chunks, _degraded(spark, sf), k, "chunk_no").join(chunks.drop("text"), "chunk_no")
+    return search.bm25(chunks, _degraded(spark, sf), k, "chunk_no").join(chunks.drop("text"), "chunk_no").cache()  # k rows a question, read several times
 
 
 def _gold(spark, sf):
