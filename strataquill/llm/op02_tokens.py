@@ -34,6 +34,8 @@ ESCAPE = 15
 BLOCK = 1024
 SEGMENT = 262_144
 END_ID = 2
+#: Chunks an encoder remembers (some 200 bytes each), and bytes of text it takes at once.
+REMEMBER, SLICE = 1_000_000, 4_000_000
 _U = np.uint64
 
 
@@ -151,7 +153,7 @@ class Encoder:
     or comma, so chunks are met again lower-cased and without those. Chunks met before come from a bounded memory;
     every other one goes through the library. Texts that may hold a special token are only split at blanks."""
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -227,10 +229,10 @@ class Encoder:
 
 
 #: One encoder for each tokenizer in a Python worker: later tasks find the chunks that earlier ones met.
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", remember: int = REMEMBER, slice_bytes: int = SLICE) -> None:
     """Encode docs (doc_id, text) and write them under path in ascending doc_id order (nulls first; ties by text).
 
     tokenizer: a file's path, or a name that the public_tokenizers package resolves. One shard is one range of
@@ -247,11 +249,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
             import public_tokenizers
 
             where = public_tokenizers.path(where)
-        if where not in _encoders:
-            _encoders[where] = Encoder(where)
-        encoder, shard, seg = _encoders[where], TaskContext.get().partitionId(), 0
+        if (where, remember) not in _encoders:
+            _encoders[where, remember] = Encoder(where, remember)
+        encoder, shard, seg = _encoders[where, remember], TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in _slices(batch):
+            for rows in _slices(batch, slice_bytes):
                 ids, counts = encoder.encode(rows.column(1).cast(pa.binary()).to_pylist())
                 names, upto = rows.column(0).to_pylist(), np.cumsum(counts)
                 out, first = [], 0
@@ -269,7 +271,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     dealt.mapInArrow(run, "shard int, seg long, n_docs long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows of at most `most` bytes of text, or one row."""
     sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1).cast(pa.binary())])
     upto, first = np.cumsum(sizes), 0
@@ -307,10 +309,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def encode_corpus(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", path: str | None = None) -> DataFrame:
+def encode_corpus(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", path: str | None = None, remember: int = REMEMBER, slice_bytes: int = SLICE) -> DataFrame:
     """Write docs' token ids (to path, or a new folder among the shared ones) and return the digests read back."""
     path = path or new_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer)
+    write_tokens(docs, path, tokenizer, remember, slice_bytes)
     return read_tokens(docs.sparkSession, path)
 
 

@@ -140,9 +140,11 @@ def _automata(benchmark: DataFrame, window: int, limit: int) -> Iterator[Automat
         yield Automaton(group, window)
 
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, limit: int = AUTOMATON_WORDS) -> DataFrame:
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, limit: int = AUTOMATON_WORDS, cut: bool = False) -> DataFrame:
     """docs with n_words, spans (array of [first word, end)) and items (array of item_ids) added; no row moves.
 
+    With cut the texts come back without the spans; n_words and spans are of the whole texts.
+
     Null texts have no words; null item_ids are skipped; an item without words matches nothing; repeated items and
     rows count each. An empty benchmark gives empty spans. Existing columns of these names are replaced."""
     schema_in = docs.drop("n_words", "spans", "items")
@@ -153,23 +155,30 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, lim
     for n, automaton in enumerate(automata):
         shared = sc.broadcast(automaton)
         text_at = schema_in.columns.index("text")
+        cut_now = cut and n == len(automata) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, text_at=text_at) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, text_at=text_at, cut_now=cut_now) -> Iterator[pa.RecordBatch]:
             scan = shared.value.scan
             names = shared.value.items
             for batch in batches:
-                counts, spans, items = [], [], []
+                counts, spans, items, texts = [], [], [], []
                 old = zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))
                 for text, (had, had_items) in zip(batch.column(text_at).cast(pa.binary()), old):
-                    words = item_words(text.as_py() or b"")
+                    raw = text.as_py()
+                    words = item_words(raw or b"")
                     found, ids = scan(words)
                     if len(had):
                         found = _union(found + had.as_py())
+                    if cut_now:
+                        texts.append(cut_words(raw, found) if found else raw)
                     counts.append(len(words))
                     spans.append(found)
                     items.append(sorted({names[i] for i in ids} | set(had_items.as_py())))
                 new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(batch.columns[:-3] + new, batch.schema.names)
+                kept_columns = batch.columns[:-3]
+                if cut_now:
+                    kept_columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(kept_columns + new, batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)
         if len(automata) > 1 and n < len(automata) - 1:  # one automaton in memory at a time
@@ -210,17 +219,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     is counted anew for texts that were cut. Untouched rows keep their text byte for byte."""
     hits = F.aggregate("spans", F.lit(0), lambda s, x: s + x[1] - x[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(2).to_pylist()
-            texts = [x.as_py() if not s else cut_words(x.as_py().encode(), s).decode() for x, s in zip(batch.column(1), spans)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(bool, spans)), pa.bool_())], ["__row", "text", "__cut"])
-
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others, F.lit(None).cast("int").alias("__none")).alias("__row"), "text")
-    kept = match_benchmark(rows, benchmark, window).where(hits <= max_coverage * F.col("n_words")).select("__row", "text", "spans")
-    fields = kept.select("__row", "text").schema
-    out = kept.mapInArrow(run, fields.add("__cut", "boolean"))
+    matched = match_benchmark(rows, benchmark, window, cut=True)
+    out = matched.where(hits <= max_coverage * F.col("n_words")).withColumn("__cut", F.size("spans") > 0)
 
     def column(c: str):
         if c == "n_chars":

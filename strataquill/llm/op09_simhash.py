@@ -49,8 +49,11 @@ def simhash(hashes: np.ndarray) -> int:
     """Bit i is set if it is set in over half the hashes; zero for none."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(bits.sum(0, dtype=np.uint32) * 2 > len(hashes)).view(">u8")[0])
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):  # 64 bytes a hash while it is counted
+        bits = np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts += bits.sum(0, dtype=np.uint32)
+    return int(np.packbits(counts * 2 > len(hashes)).view(">u8")[0])
 
 
 def minhash_keys(hashes: np.ndarray) -> np.ndarray:
