@@ -95,7 +95,7 @@ def rrf_hybrid_top5(spark, sf):
     docs, asked = table(spark, sf, "documents"), _degraded(spark, sf)
     sparse = search.bm25(docs, asked, 30)
     terms = asked.select("question_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    shared = terms.join(search.postings(docs, "doc_id"), "term").groupBy("question_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    shared = terms.join(search.postings(docs, "doc_id", terms), "term").groupBy("question_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
     return search.fuse({"sparse": sparse, "overlap": search.top(shared, 30, "doc_id")}, 5, "doc_id")
 
 
