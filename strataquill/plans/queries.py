@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _documents(spark, sf):
+    """The documents; a table in fewer splits than there are cores (a small file) is dealt to all of them first."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 
@@ -40,8 +47,7 @@ def _degraded(spark, sf):
 
 def _chunks(spark, sf):
     """Windows of 400 characters, 300 apart: chunk_no, doc_id, start, end, text."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    starts = docs.select("doc_id", "text", F.posexplode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(300))).alias("n", "start"))
+    starts = _documents(spark, sf).select("doc_id", "text", F.posexplode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(300))).alias("n", "start"))
     return starts.select((F.col("doc_id") * 100_000 + F.col("n")).alias("chunk_no"), "doc_id", "start", F.least(F.col("start") + 400, F.length("text")).alias("end"), F.substring("text", F.col("start") + 1, F.lit(400)).alias("text"))
 
 
@@ -68,13 +74,13 @@ OVER = "least(h.\"end\", g.\"end\") - greatest(h.start, g.start) >= 40"
 
 @query(f"SELECT doc_id, len({TOK})::INT AS n_tokens, len(list_distinct({TOK}))::INT AS n_terms FROM documents")
 def tokenize_counts(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    t = _documents(spark, sf).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
 
 
 @query(f"WITH {ASKED}, {bm25_sql('documents', 'doc_id', 5)} SELECT * FROM hits")
 def bm25_top5(spark, sf):
-    return search.bm25(table(spark, sf, "documents"), _questions(spark, sf), 5)
+    return search.bm25(_documents(spark, sf), _questions(spark, sf), 5)
 
 
 @query("""WITH q AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 25 = 0),
@@ -92,7 +98,7 @@ o30 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORD
 f AS (SELECT coalesce(h.question_id, o.question_id) AS question_id, coalesce(h.doc_id, o.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + h.rank), 0) + coalesce(1.0::DOUBLE / (60 + o.rank), 0), 9) AS score, h.rank AS sparse_rank, o.rank AS overlap_rank FROM hits h FULL JOIN o30 o ON h.question_id = o.question_id AND h.doc_id = o.doc_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 5""")
 def rrf_hybrid_top5(spark, sf):
-    docs, asked = table(spark, sf, "documents"), _degraded(spark, sf)
+    docs, asked = _documents(spark, sf), _degraded(spark, sf)
     sparse = search.bm25(docs, asked, 30)
     terms = asked.select("question_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     shared = terms.join(search.postings(docs, "doc_id", terms), "term").groupBy("question_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
