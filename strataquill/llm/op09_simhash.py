@@ -30,6 +30,8 @@ LSH_BANDS, LSH_ROWS = 12, 3
 _ODD = np.random.default_rng(5).integers(0, 2**63, LSH_BANDS * LSH_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Above this many distinct fingerprints in a bucket, radius <= 2 links them through one-bit neighbours instead.
 BUCKET = 4096
+#: Parts in which the members of a component are joined with its id.
+SALTS = 16
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -177,14 +179,26 @@ def _band_keys(fps: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
-    """(fp, root) for every distinct fingerprint; prints is a materialised result of fingerprints()."""
+    """(fp, root, least, row) for every distinct fingerprint, materialised; root is null for one without links, least
+    its least doc_id, row its least (doc_id, th). prints is a materialised result of fingerprints()."""
     if radius <= 2:
         keyed = _band_keys(prints.select("fp").distinct())
     else:
         keyed = prints.select(F.explode("keys").alias("k"), "fp").distinct()
     found = components(bucket_links(keyed, radius, bucket))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    return nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("row"))
+    return materialise(nodes.join(found, nodes.fp == found.node, "left").select("fp", "root", "least", "row"), "classes")
+
+
+def _component_ids(found: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of a result of classes(). A component's id meets its members in SALTS parts, so that
+    no task gets a large component whole; fingerprints without links need no join."""
+    linked = found.where("root is not null")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    named = linked.select("fp", "root", salt.alias("salt")).join(ids, ["root", "salt"]).select("fp", "root", "component_id")
+    return named.union(found.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id")))
 
 
 def simhash_components(docs: DataFrame, width: int = 5, radius: int = 2, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
@@ -194,9 +208,7 @@ def simhash_components(docs: DataFrame, width: int = 5, radius: int = 2, seed: i
     are empty; texts without words have fingerprint zero and link like any other. Repeated rows stay. A null doc_id
     stays and never names a component that has another id. Other columns are ignored; no rows give no rows."""
     prints = materialise(fingerprints(docs, width, seed, radius > 2), "prints")
-    found = classes(prints, radius, bucket)
-    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(found.join(named, "root").select("fp", "root", "component_id"), "named")
+    named = materialise(_component_ids(classes(prints, radius, bucket)), "named")
     return prints.drop("keys").join(named, "fp")
 
 
@@ -204,9 +216,10 @@ def near_dedup(docs: DataFrame, width: int = 5, radius: int = 14) -> DataFrame:
     """docs without near-duplicates: of each component the row with the least (doc_id, text hash) stays whole.
 
     Five-word shingles; a similarity of 0.8 (Jaccard) lies within 14 of 64 bits, and candidates also share a MinHash
-    band, so unrelated texts do not meet. Rows keep their columns; texts without words form one group."""
-    found = simhash_components(docs, width, radius).withColumn("row", F.struct("doc_id", "th"))
-    keep = found.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    band, so unrelated texts do not meet. Rows keep their columns; texts without words form one group. The row that
+    stays is found by two aggregations, over fingerprints and over components; no component is joined with its rows."""
+    found = classes(materialise(fingerprints(docs, width, keys=radius > 2), "prints"), radius)
+    keep = found.groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row")).select("row.*")
     keyed = docs.withColumn("__th", text_hash())
     same = keyed["doc_id"].eqNullSafe(keep["doc_id"]) & (keyed["__th"] == keep["th"])
     return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
