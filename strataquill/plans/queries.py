@@ -116,7 +116,7 @@ def _hits(spark, sf, k=10):
 
 
 def _gold(spark, sf):
-    return relevance.locate_gold(_questions(spark, sf), table(spark, sf, "documents"))
+    return relevance.locate_gold(_questions(spark, sf), _documents(spark, sf)).cache()  # spans only, read several times
 
 
 SPINE = f"{DEGRADED}, {CHUNKS}, {bm25_sql('chunks', 'chunk_no', 10, 'top')}, hits AS (SELECT t.*, c.doc_id, c.start, c.\"end\" FROM top t JOIN chunks c USING (chunk_no)), {GOLD}"

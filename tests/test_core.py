@@ -174,3 +174,26 @@ def test_without_corpus_operators():
     import __spark_entry__ as e
 
     assert "bm25_top5" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_postings_of_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "...")], "doc_id long, text string")
+    assert {tuple(r) for r in search.postings(docs, "doc_id").select("doc_id", "term", "tf", "dl").collect()} == {(1, "a", 2, 3), (1, "b", 1, 3)}
+
+
+def test_follow_appends_new_files_once(spark, tmp_path):
+    from strataquill.streaming.incremental import follow
+
+    source, target, at = (str(tmp_path / n) for n in ("source", "target", "checkpoint"))
+
+    def turn(rows):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+        follow(spark, source, "doc_id long, text string", target, at).awaitTermination()
+        return sorted((r.doc_id, r.text) for r in spark.read.parquet(target).collect())
+
+    first = turn([(1, "One sentence here. " * 20)])
+    assert {d for d, _ in first} == {1}
+    both = turn([(2, "Another sentence there. " * 20)])
+    assert {d for d, _ in both} == {1, 2} and [x for x in both if x[0] == 1] == first
+    follow(spark, source, "doc_id long, text string", target, at).awaitTermination()
+    assert sorted((r.doc_id, r.text) for r in spark.read.parquet(target).collect()) == both
