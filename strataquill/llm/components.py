@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> (node, root) for each node that has an edge; root is the component's least node.
 
     Each round is two aggregations and joins over the edges, written to the shared folder; rounds grow with the
-    logarithm of the component size. No component is gathered anywhere: a hub's edges are joined with its least
-    neighbour, and such a join can be split by AQE. Loops and repeated edges are allowed; no edges give no rows."""
+    logarithm of the component size. No component is gathered in memory, but a hub's edges are joined with its least
+    neighbour in one task, which streams them: AQE does not split a join that reads an aggregate. Loops and repeated edges are allowed; no edges give no rows."""
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, seen = materialise(ordered, "edges"), None
     while True:

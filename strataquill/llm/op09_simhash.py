@@ -215,8 +215,9 @@ def simhash_components(docs: DataFrame, width: int = 5, radius: int = 2, seed: i
 def near_dedup(docs: DataFrame, width: int = 5, radius: int = 14) -> DataFrame:
     """docs without near-duplicates: of each component the row with the least (doc_id, text hash) stays whole.
 
-    Five-word shingles; a similarity of 0.8 (Jaccard) lies within 14 of 64 bits, and candidates also share a MinHash
-    band, so unrelated texts do not meet. Rows keep their columns; texts without words form one group. The row that
+    Five-word shingles; by calculation 0.947 of the pairs at a similarity of 0.8 (Jaccard) lie within 14 of 64 bits and
+    0.998 of those at 0.9; many somewhat below 0.8 do too. Candidates share a MinHash band, so unrelated texts do not
+    meet. Rows keep their columns; texts without words form one group. The row that
     stays is found by two aggregations, over fingerprints and over components; no component is joined with its rows."""
     found = classes(materialise(fingerprints(docs, width, keys=radius > 2), "prints"), radius)
     keep = found.groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row")).select("row.*")
