@@ -1,60 +1,72 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes.
 
-Fit: a bounded sample of labelled rows (max_examples, half of each class if there are so many) picks the terms whose
-presence depends on the label (chi-square above CHI2, at most max_terms); their document frequencies are counted over
-all documents. Index: the sample's unit TF-IDF vectors, ordered so that like ones are neighbours, in blocks of BLOCK
-ids; each term has its largest weight in each block. Search: the query's weights times these maxima bound every
-block's scores; blocks are scored in order of their bounds until the next bound is below the k-th best score, so the
-result is exact. Votes weigh 1 / (distance + SOFT); leave-one-out votes of the sample, reweighted to the labelled
-rows' class shares, calibrate them by isotonic regression.
+Fit: a bounded sample of labelled rows (max_examples, half of each class if there are so many); all its terms are
+indexed, with their document frequencies over all documents. A term's weight is TF-IDF times FLOOR plus how far its
+log-odds differ between the classes: words that tell nothing weigh little, but none is left out, and the sample's size
+sets no threshold. Index: the sample's unit vectors, ordered so that like ones are neighbours, in blocks of BLOCK ids;
+each term has its largest weight in each block. Search: the query's weights times these maxima bound every block's
+scores; blocks are scored in order of their bounds until the next bound is below the k-th best score, so the result is
+exact. Votes weigh 1 / (distance + SOFT); leave-one-out votes of the sample, reweighted to the labelled rows' class
+shares, calibrate them by isotonic regression.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataquill.llm.common import materialise
-
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
-BLOCK, SOFT, CHI2 = 64, 0.05, 24.0
+BLOCK, SOFT, FLOOR = 64, 0.05, 0.05
 
 
 def terms_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_TABLE).split()
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + size), one range after another."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class Index:
-    """Block-max inverted index of labelled examples. rows: (doc_id, label, {term: count})."""
+    """Block-max inverted index of labelled examples. rows: (doc_id, label, {term: count}); scale: factors of the
+    terms' weights, 1 where missing."""
 
-    def __init__(self, rows: list[tuple[int, int, dict[bytes, int]]], df: dict[bytes, int], n_docs: int, k: int = 15):
+    def __init__(self, rows: Iterable[tuple[int, int, dict[bytes, int]]], df: dict[bytes, int], n_docs: int, k: int = 15, scale: dict[bytes, float] | None = None):
         self.k = k
         self.term = {t: i for i, t in enumerate(sorted(df))}
-        self.idf = np.array([math.log((1 + n_docs) / (1 + df[t])) + 1 for t in sorted(df)])
+        self.idf = [(math.log((1 + n_docs) / (1 + df[t])) + 1) * (scale or {}).get(t, 1.0) for t in self.term]
         vectors = [(self.weigh(c), label, doc) for doc, label, c in rows]
         vectors.sort(key=lambda v: (max(v[0], key=v[0].get, default=-1), v[1], v[2]))
         self.docs, self.labels = [v[2] for v in vectors], np.array([v[1] for v in vectors], np.int64)
         self.vectors = [v[0] for v in vectors]
-        blocks = -(-len(vectors) // BLOCK)
-        self.top = np.zeros((len(self.term), max(blocks, 1)))
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for n, v in enumerate(self.vectors):
-            for t, w in v.items():
-                self.top[t, n // BLOCK] = max(self.top[t, n // BLOCK], w)
-                lists.setdefault((n // BLOCK, t), []).append((n % BLOCK, w))
-        self.postings = {key: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for key, p in lists.items()}
-        self.memo: dict[tuple, tuple[float, list[int]]] = {}
+        self.blocks = -(-len(vectors) // BLOCK)
+        # postings by (term, example); entries: the runs of a term's postings in one block, with their largest weight
+        size = sum(map(len, self.vectors))
+        at = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v) for v in self.vectors])
+        term = np.fromiter(chain.from_iterable(self.vectors), np.int32, size)
+        weight = np.fromiter(chain.from_iterable(v.values() for v in self.vectors), np.float64, size)
+        order = np.lexsort((at, term))
+        self.at, self.weight, term = at[order], weight[order], term[order]
+        block = self.at // BLOCK
+        self.start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][:size])
+        self.count = np.diff(np.r_[self.start, size])
+        self.block = block[self.start]
+        self.top = np.maximum.reduceat(self.weight, self.start) if size else np.zeros(0)
+        self.first = np.searchsorted(term[self.start], np.arange(len(self.term) + 1))
         self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def weigh(self, counts: dict[bytes, int]) -> dict[int, float]:
         """Unit vector: (1 + log tf) idf of the known terms."""
-        w = {self.term[t]: (1 + math.log(c)) * self.idf[self.term[t]] for t, c in sorted(counts.items()) if t in self.term}
+        w = {i: (1 + math.log(c)) * self.idf[i] for t, c in sorted(counts.items()) if (i := self.term.get(t)) is not None}
         norm = math.sqrt(sum(x * x for x in w.values()))
         return {t: x / norm for t, x in w.items()}
 
@@ -62,26 +74,28 @@ class Index:
         """The k nearest examples with positive similarity: (indices, similarities), ties by index."""
         if not query:
             return np.zeros(0, np.int64), np.zeros(0)
-        terms = list(query)
-        bound = np.array([query[t] for t in terms]) @ self.top[terms]
-        ids, sims, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(ids) == self.k and bound[b] < kth - 1e-12):
-                break
-            acc = np.zeros(BLOCK)
-            for t in terms:
-                if (p := self.postings.get((b, t))) is not None:
-                    acc[p[0]] += query[t] * p[1]
-            hit = np.flatnonzero(acc > max(kth - 1e-12, 0))
-            new = hit + b * BLOCK
+        terms = np.fromiter(query, np.int64, len(query))
+        entry = _ranges(self.first[terms], self.first[terms + 1] - self.first[terms])
+        by = np.repeat(np.fromiter(query.values(), np.float64, len(query)), self.first[terms + 1] - self.first[terms])
+        bound = np.bincount(self.block[entry], by * self.top[entry], self.blocks)
+        blocks = np.argsort(-bound, kind="stable")
+        ids, sims, kth, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
+        while done < len(blocks) and bound[blocks[done]] > 0 and bound[blocks[done]] >= kth - 1e-9:
+            chosen = np.zeros(self.blocks, bool)
+            chosen[blocks[done : done + step]] = True
+            now = chosen[self.block[entry]]
+            part = entry[now]
+            post = _ranges(self.start[part], self.count[part])
+            acc = np.bincount(self.at[post], np.repeat(by[now], self.count[part]) * self.weight[post], self.blocks * BLOCK)
             if skip >= 0:
-                hit, new = hit[new != skip], new[new != skip]
-            ids, sims = np.concatenate([ids, new]), np.concatenate([sims, acc[hit]])
-            if len(ids) > self.k:
-                keep = np.lexsort((ids, -np.round(sims, 12)))[: self.k]
-                ids, sims = ids[keep], sims[keep]
-            kth = sims.min() if len(ids) == self.k else 0.0
-        order = np.lexsort((ids, -np.round(sims, 12)))
+                acc[skip] = 0
+            new = np.flatnonzero(acc > max(kth - 1e-9, 0))
+            ids, sims = np.concatenate([ids, new]), np.concatenate([sims, acc[new]])
+            if len(ids) >= self.k:
+                kth = np.partition(sims, -self.k)[-self.k]
+                ids, sims = ids[sims >= kth - 1e-9], sims[sims >= kth - 1e-9]
+            done, step = done + step, step * 4
+        order = np.lexsort((ids, -np.round(sims, 12)))[: self.k]
         return ids[order], sims[order]
 
     def vote(self, query: dict[int, float], skip: int = -1) -> tuple[float, list[int]]:
@@ -118,14 +132,9 @@ class Index:
         self.steps = (np.array(xs), np.array(ys))
 
     def score(self, counts: dict[bytes, int]) -> tuple[float, list[int]]:
-        key = tuple(sorted(counts.items()))
-        if key not in self.memo:
-            raw, evidence = self.vote(self.weigh(counts))
-            p = 0.999 * float(np.interp(raw, *self.steps)) + 0.001 * (raw + 1) / 2  # ties within a pool keep the votes' order
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            self.memo[key] = (min(max(p, 0.0), 1.0), evidence)
-        return self.memo[key]
+        raw, evidence = self.vote(self.weigh(counts))
+        p = 0.999 * float(np.interp(raw, *self.steps)) + 0.001 * (raw + 1) / 2  # ties within a pool keep the votes' order
+        return min(max(p, 0.0), 1.0), evidence
 
 
 def held_out() -> Column:
@@ -147,13 +156,13 @@ def _known_counts(rows: DataFrame, terms: set[bytes]) -> DataFrame:
     return rows.select("text").mapInArrow(run, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_terms: int = 1024, k: int = 15) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, k: int = 15) -> Index:
     """An index from labels (doc_id, toxic) and docs (doc_id, text).
 
     Training rows: labelled, not null, crc32(doc_id as text) mod 5 not 0; a doc_id labelled twice is toxic if once
     so. The sample takes each class by hash order of doc_id. Of a doc_id with several texts the least counts. Without
-    examples of both classes every score is the toxic share (0 without any). At most max_examples texts' terms and
-    max_terms counts reach the driver."""
+    examples of both classes every score is the toxic share (0 without any). At most max_examples texts' term counts
+    and one document frequency for each of their terms reach the driver."""
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     half = max_examples // 2
@@ -164,39 +173,40 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_terms:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, y, text in zip(*batch.columns):
-                c = Counter(terms_of(text.as_py().encode()))
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * (len(c) + 1), pa.int64()), pa.array([y.as_py()] * (len(c) + 1), pa.int32()), pa.array([*c, b""], pa.binary()), pa.array([*c.values(), 1], pa.int64())], ["doc_id", "toxic", "term", "n"])
-
-    found = materialise(sample.select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, term binary, n long"), "examples")
-    sizes = {r["toxic"]: r["n"] for r in found.where(F.octet_length("term") == 0).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    a, b = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
-    by = found.where(F.octet_length("term") > 0).groupBy("term").agg(a.cast("double").alias("a"), b.cast("double").alias("b"))
-    n = float(n1 + n0)
-    cross = F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))
-    below = F.lit(float(n1) * n0) * (F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b"))
-    chi = F.try_divide(n * cross * cross, below)
-    best = by.withColumn("chi", chi).where(F.col("chi") > CHI2).orderBy(F.desc("chi"), "term").limit(max_terms) if n1 and n0 else by.limit(0)
-    terms = {bytes(r["term"]) for r in best.select("term").collect()}
-    counted = {bytes(r["term"]): r["df"] for r in _known_counts(docs, terms).collect()}
+            counts = [Counter(terms_of(text.as_py().encode())) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "n"])
+
+    found = sample.select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, terms array<binary>, n array<int>").toArrow().sort_by("doc_id")
+    has = {0: Counter(), 1: Counter()}
+    own: dict[bytes, bytes] = {}  # one object a term
+    rows = []
+    for batch in found.to_batches(64):
+        for doc, y, terms, n in zip(*(c.to_pylist() for c in batch.columns)):
+            has[y].update(terms)
+            rows.append((doc, y, {own.setdefault(t, t): c for t, c in zip(terms, n)}))
+    del found
+    n1 = sum(y for _, y, _ in rows)
+    n0 = len(rows) - n1
+
+    def odds(n: int, of: int) -> float:
+        return math.log((n + 0.5) / (of - n + 0.5))
+
+    scale = {t: FLOOR + abs(odds(has[1][t], n1) - odds(has[0][t], n0)) for t in own}
+    counted = {bytes(r["term"]): r["df"] for r in _known_counts(docs, set(own)).collect()}
     n_docs = counted.pop(b"", 0)
-    kept = found.where(F.col("term").isin([bytearray(t) for t in terms]) if terms else F.lit(False))
-    vectors = kept.groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("term", "n")).alias("v"))
-    everyone = found.where(F.octet_length("term") == 0).select("doc_id", "toxic").join(vectors.select("doc_id", "v"), "doc_id", "left").collect()
-    rows = [(r["doc_id"], r["toxic"], {bytes(x["term"]): x["n"] for x in r["v"] or []}) for r in everyone]
-    index = Index(sorted(rows, key=lambda r: r[0]), {t: counted.get(t, 0) for t in terms}, n_docs, k)
+    index = Index(rows, {t: counted.get(t, 0) for t in own}, n_docs, k, scale)
     total = sum(shares.values())
     index.calibrate(shares.get(1, 0) / total if total else 0.0)
+    index.vectors = []  # only the calibration needs them
     return index
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_terms: int = 1024, k: int = 15) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, k: int = 15) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for each row of docs (doc_id, text).
 
     Whole texts; null ones are empty and score like texts without a known term. evidence: the nearest examples'
     doc_ids. Repeated rows score alike; null doc_ids stay, not held out; an empty table gives none."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples, max_terms, k))
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, score = index.value.term, index.value.score

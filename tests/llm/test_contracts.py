@@ -415,6 +415,22 @@ def test_op1(spark, corpus):
         assert ids.tolist() == [i for i in order if full[i] > 1e-12] and np.allclose(sims, full[ids])
 
 
+def test_op1_weighs_all_terms(spark):
+    """3,000 neutral terms and rare toxic words, each in a few of the toxic examples: all are indexed and found."""
+    from strataquill.llm.op01_toxicity import fit
+
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(f"n{t}" for t in rng.integers(0, 3000, 40)) + (f" rare{i % 50}" if i < 200 else "")) for i in range(1600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(1600)], "doc_id long, toxic int")
+    index = fit(docs, labels)
+    train = [i for i in range(1600) if zlib.crc32(str(i).encode()) % 5]
+    assert set(index.term) == {w.encode() for i in train for w in texts[i][1].split()}
+    plain = index.score({b"n1": 1, b"n2": 1})[0]
+    known = {i % 50 for i in train if i < 200}
+    assert all(index.score({f"rare{r}".encode(): 1})[0] > max(plain, 0.5) for r in known)
+
+
 def test_op1_held_out_accuracy(spark):
     from strataquill.llm.op01_toxicity import op1_toxicity
 
