@@ -72,6 +72,11 @@ class Index:
 
     def search(self, query: dict[int, float], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with positive similarity: (indices, similarities), ties by index."""
+        ids, sims = self.nearest(query, skip)
+        return ids[: self.k], sims[: self.k]
+
+    def nearest(self, query: dict[int, float], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples with positive similarity and all that tie with the k-th, like search."""
         if not query:
             return np.zeros(0, np.int64), np.zeros(0)
         terms = np.fromiter(query, np.int64, len(query))
@@ -95,12 +100,14 @@ class Index:
                 kth = np.partition(sims, -self.k)[-self.k]
                 ids, sims = ids[sims >= kth - 1e-9], sims[sims >= kth - 1e-9]
             done, step = done + step, step * 4
-        order = np.lexsort((ids, -np.round(sims, 12)))[: self.k]
-        return ids[order], sims[order]
+        order = np.lexsort((ids, -np.round(sims, 12)))
+        ids, sims = ids[order], sims[order]
+        stop = np.searchsorted(-sims, 1e-11 - sims[self.k - 1], "right") if len(ids) > self.k else len(ids)
+        return ids[:stop], sims[:stop]
 
     def vote(self, query: dict[int, float], skip: int = -1) -> tuple[float, list[int]]:
-        """(raw vote, evidence). Without a neighbour the vote is below all others: -1."""
-        ids, sims = self.search(query, skip)
+        """(raw vote, evidence); examples as near as the k-th all vote, so no label or id decides among them. Without a neighbour the vote is below all others: -1."""
+        ids, sims = self.nearest(query, skip)
         if not len(ids):
             return -1.0, []
         w = 1 / (np.maximum(1 - sims, 0) + SOFT)

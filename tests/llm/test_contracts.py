@@ -415,6 +415,17 @@ def test_op1(spark, corpus):
         assert ids.tolist() == [i for i in order if full[i] > 1e-12] and np.allclose(sims, full[ids])
 
 
+def test_op1_ties_all_vote():
+    from strataquill.llm.op01_toxicity import Index
+
+    rows = [(i, int(i >= 15), {b"a": 1}) for i in range(300)] + [(300 + i, 0, {b"b": 1}) for i in range(20)]
+    index = Index(rows, {b"a": 300, b"b": 20}, 1000)
+    raw, evidence = index.vote(index.weigh({b"a": 1}))
+    assert abs(raw - 285 / 300) < 1e-9 and len(evidence) == 3
+    assert len(index.search(index.weigh({b"a": 1}))[0]) == 15
+    assert len(index.nearest(index.weigh({b"a": 1, b"b": 1}))[0]) == 20  # b is rarer, so nearer
+
+
 def test_op1_weighs_all_terms(spark):
     """3,000 neutral terms and rare toxic words, each in a few of the toxic examples: all are indexed and found."""
     from strataquill.llm.op01_toxicity import fit
