@@ -7,12 +7,15 @@ buckets of its block keys, and a bucket yields a spanning forest of its links ra
 * larger radii: the keys are bands of MinHash values of the same shingles (recall by design; see LSH_BANDS).
 Within a bucket, Hamming distances to PIVOTS reference fingerprints are tabulated; by the triangle inequality a pair
 whose largest coordinate difference exceeds the radius cannot link and is discarded; survivors are verified.
+
+near_dedup, the pipeline's stage, links by exact Jaccard similarity of the shingles instead of by fingerprints.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ _ODD = np.random.default_rng(5).integers(0, 2**63, LSH_BANDS * LSH_ROWS, dtype=n
 BUCKET = 4096
 #: Parts in which the members of a component are joined with its id.
 SALTS = 16
+#: Shingles of a candidate component that one task compares at once (8 bytes each, and as much again for a second part).
+PART = 4_000_000
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -212,15 +217,113 @@ def simhash_components(docs: DataFrame, width: int = 5, radius: int = 2, seed: i
     return prints.drop("keys").join(named, "fp")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, radius: int = 14) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
+    """(doc_id, th, node, n, keys) for each row: a hash of the set of its shingles, their number, MinHash band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, bands = [], [], []
+            for text in batch.column(2).cast(pa.binary()):
+                own = np.unique(shingle_hashes(text.as_py() or b"", width, seed))
+                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                bands.append(minhash_keys(own).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "th", "node", "n", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text")
+    return rows.mapInArrow(run, "doc_id long, th long, node long, n long, keys array<long>")
+
+
+def _chains(keyed: DataFrame, similarity: float) -> DataFrame:
+    """keyed (k, n, node) -> links (a, b) of neighbours by size in a bucket whose sizes allow the similarity. Any two
+    members of a bucket that can be so similar are connected; nothing of a bucket is held but its last row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            if batch.num_rows:
+                k, n, node = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(last, batch.columns))
+                near = np.flatnonzero((k[1:] == k[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-9))
+                last = [k[-1:], n[-1:], node[-1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(node[near + 1])], ["a", "b"])
+
+    return keyed.repartition("k").sortWithinPartitions("k", "n", "node").mapInArrow(run, "a long, b long")
+
+
+def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (indices) among sorted sets of hashes with the components of all pairs of at least this Jaccard
+    similarity. Sets meet in their prefixes, rarest hash first, so no such pair is missed; each link is exact."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    root, sizes, index, links = np.arange(len(sets)), np.array([len(s) for s in sets]), {}, []
+    for i in order:
+        own = sets[i]
+        prefix = own[np.argsort(counts[np.searchsorted(values, own)], kind="stable")]
+        prefix = prefix[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].tolist()
+        met = [index[h] for h in prefix if h in index]
+        for j in np.unique(np.fromiter(chain.from_iterable(met), np.int64)).tolist() if met else []:
+            if root[i] != root[j] and sizes[j] >= similarity * sizes[i] - 1e-9:
+                both = len(np.intersect1d(own, sets[j], assume_unique=True))
+                if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
+                    root[root == root[j]] = root[i]
+                    links.append((i, j))
+        for h in prefix:
+            index.setdefault(h, []).append(i)
+    return links
+
+
+def verified_links(docs: DataFrame, prints: DataFrame, similarity: float, width: int, part: int = PART, seed: int = 42) -> DataFrame:
+    """(a, b): nodes whose shingle sets have at least this Jaccard similarity, enough of them to connect all such pairs
+    that share a band.
+
+    Components of the candidates (_chains) gather such pairs, and the sets of one component are compared in one task;
+    a component of more than `part` shingles is dealt into parts, and each two parts meet in a task of their own."""
+    keyed = prints.where("n > 0").select(F.explode("keys").alias("k"), "n", "node").distinct()
+    rough = components(_chains(keyed, similarity))
+    one = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("row"), F.first("n").alias("n"))
+    member = materialise(one.join(rough, "node").select("node", "root", "n", "row.*"), "candidates")
+    parts = member.groupBy("root").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"))
+    large = parts.where("parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = member.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(large, ["root", "salt"], "left")
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    other = F.explode(F.when(F.col("parts") > 1, F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != mine)).otherwise(F.array(F.lit(0))))
+    placed = salted.withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn("other", other)
+    placed = placed.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text").join(placed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+
+        def made():
+            links = similar_links(sets, similarity) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in links], pa.int64()), pa.array([nodes[y] for _, y in links], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for task, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                if task != key:
+                    yield made()
+                    key, nodes, sets = task, [], []
+                if not nodes or nodes[-1] != node:  # repeated rows
+                    nodes.append(node)
+                    sets.append(np.unique(shingle_hashes(text.as_py() or b"", width, seed)))
+        yield made()
+
+    dealt = texts.select("task", "node", "text").repartition("task").sortWithinPartitions("task", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, part: int = PART) -> DataFrame:
     """docs without near-duplicates: of each component the row with the least (doc_id, text hash) stays whole.
 
-    Five-word shingles; by calculation 0.947 of the pairs at a similarity of 0.8 (Jaccard) lie within 14 of 64 bits and
-    0.998 of those at 0.9; many somewhat below 0.8 do too. Candidates share a MinHash band, so unrelated texts do not
-    meet. Rows keep their columns; texts without words form one group. The row that
-    stays is found by two aggregations, over fingerprints and over components; no component is joined with its rows."""
-    found = classes(materialise(fingerprints(docs, width, keys=radius > 2), "prints"), radius)
-    keep = found.groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row")).select("row.*")
+    Documents are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8, which is checked
+    exactly for each link; candidates share a MinHash band, as a pair at just 0.8 does with probability 0.9998. Rows
+    keep their columns; texts without words form one group. The row that stays is found by two aggregations, over
+    shingle sets and over components; no component is joined with its rows."""
+    prints = materialise(shingle_sets(docs, width), "prints")
+    found = components(verified_links(docs, prints, similarity, width, part)).withColumnRenamed("node", "member")
+    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("row"))
+    linked = nodes.join(found, F.col("node") == F.col("member"), "left")
+    keep = materialise(linked.groupBy(F.coalesce("root", "node")).agg(F.min("row").alias("row")).select("row.*"), "keep")
     keyed = docs.withColumn("__th", text_hash())
     same = keyed["doc_id"].eqNullSafe(keep["doc_id"]) & (keyed["__th"] == keep["th"])
     return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")

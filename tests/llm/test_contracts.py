@@ -258,6 +258,30 @@ def test_near_dedup(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("part", [4_000_000, 300])
+def test_near_dedup_links_by_exact_similarity(spark, part):
+    """Pairs of every similarity from 0.5 to 1: the components are those of Jaccard >= 0.8, found by brute force."""
+    from strataquill.llm.op09_simhash import near_dedup
+
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(150):
+        base = [f"w{x}" for x in rng.integers(0, 50_000, int(rng.integers(30, 200)))]
+        edited = list(base)
+        for p in rng.choice(len(base), int(rng.integers(0, max(2, len(base) // 30))), replace=False):
+            edited[p] = f"e{p}"
+        tail = base[: int(len(base) * rng.uniform(0.6, 1))] + [f"x{i}"] * 3
+        texts += [" ".join(base), " ".join(edited), " ".join(tail), " ".join(base[:40] + [f"y{i}_{j}" for j in range(12)])]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = groups(len(texts), lambda i, j: 10 * len(shingles[i] & shingles[j]) >= 8 * len(shingles[i] | shingles[j]))
+    want, seen = [], set()
+    for i, r in enumerate(root):
+        want += [i] if r not in seen else []
+        seen.add(r)
+    out = near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), part=part)
+    assert sorted(r.doc_id for r in out.collect()) == want
+
+
 def test_op10(spark, corpus, docs):
     from strataquill.llm.op10_quality import op10_quality, quality_filter
 
