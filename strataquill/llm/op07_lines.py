@@ -1,11 +1,13 @@
 """Line dedup by winnowing: repeated runs of lines are found by fingerprints and cut from all but their first place.
 
-From each line that is not blank starts a window: the fewest lines that hold min_words words, or min_lines lines. Its
-fingerprint is the least line hash in it, so the same run has the same fingerprints wherever it stands (no repeated
-run as long as a window is missed), and far fewer lines than all are fingerprints. Fingerprints that stand once in the
-corpus end there. Around the others the windows are compared whole, both ways from the fingerprint: those equal to an
-earlier window that they don't overlap are deleted; overlapping windows join into maximal runs. An occurrence meets
-only the first one, so a line that a third of all documents share makes no pairs.
+From each line that is not blank start its windows: the fewest lines that hold min_words words, or min_lines lines; and,
+with whole_runs, each longer one of up to min_lines lines. A window's fingerprint is the least line hash in it, so the
+same run has the same fingerprints wherever it stands. Fingerprints that stand once in the corpus end there; the minima
+only spare these windows the grouping by digest. Windows equal to an earlier one that they don't overlap are deleted;
+overlapping ones join into runs. With whole_runs these are the maximal runs, extended both ways: a line of a repeated
+run that is long enough stands in a part of it that is long enough, has at most min_lines lines and is repeated too, so
+it is in one of the windows. An occurrence meets only the first one, so a line that a third of all documents share makes
+no pairs.
 """
 
 from __future__ import annotations
@@ -23,32 +25,33 @@ from strataquill.llm.common import materialise, text_hash
 MIN_LINES, MIN_WORDS = 3, 50
 
 
-def windows(text: bytes, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> list[tuple[int, bytes, int, int]]:
-    """(fingerprint, digest of the window's stripped lines, first line, last line), one for each start."""
+def windows(text: bytes, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> list[tuple[int, bytes, int, int]]:
+    """(fingerprint, digest of the window's stripped lines, first line, last line): the shortest for each start, or all
+    of up to min_lines lines that are long enough."""
     lines = [(n, s) for n, line in enumerate(text.split(b"\n")) if (s := line.strip())]
     hashes = [xxhash.xxh64_intdigest(s) for _, s in lines]
     counts = [len(s.split()) for _, s in lines]
     out = []
     for i in range(len(lines)):
-        words, j = 0, i
-        while j < len(lines):
-            words += counts[j]
-            j += 1
+        words = 0
+        for j in range(i + 1, min(i + min_lines, len(lines)) + 1):
+            words += counts[j - 1]
             if words >= min_words or j - i == min_lines:
                 body = b"\n".join(s for _, s in lines[i:j])
                 out.append((min(hashes[i:j]), xxhash.xxh3_128_digest(body), lines[i][0], lines[j - 1][0]))
-                break
+                if not whole_runs:
+                    break
     return out
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """(doc_id, th, spans): the windows [first, last] to delete, for rows that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-                for fingerprint, digest, first, last in windows(text.as_py() or b"", min_lines, min_words):
+                for fingerprint, digest, first, last in windows(text.as_py() or b"", min_lines, min_words, whole_runs):
                     for c, v in zip(cols, (doc, th, fingerprint - 2**63, digest, first, last)):
                         c.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
@@ -75,13 +78,13 @@ def cut_lines(text: bytes, spans: list[list[int]]) -> tuple[bytes, list[int]]:
     return b"\n".join(x for x, g in zip(lines, gone) if not g), np.flatnonzero(gone).tolist()
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """(doc_id, text, n_lines, n_removed, removed) for each row of docs (doc_id, text).
 
-    text is without the repeated runs; earlier means lesser (doc_id, text hash, line), nulls first. Lines compare
+    text is without the repeated runs: maximal ones with whole_runs, else the shortest windows' unions; earlier means lesser (doc_id, text hash, line), nulls first. Lines compare
     without blanks at their ends; blank lines count for nothing but go with a run around them. Rows equal in doc_id
     and text are one place, and stay. Null texts stay null, with one empty line. An empty table gives none."""
-    spans = repeated_runs(docs, min_lines, min_words).select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("n"), F.col("th").alias("t"), "spans")
+    spans = repeated_runs(docs, min_lines, min_words, whole_runs).select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("n"), F.col("th").alias("t"), "spans")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text")
     on = (F.coalesce(rows.doc_id, F.lit(-1)) == spans.d) & (rows.doc_id.isNull() == spans.n) & (rows.th == spans.t)
 
@@ -101,4 +104,4 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "removed", F.crc32("text").alias("kept_crc32"))
+    return dedup_lines(docs, whole_runs=True).select("doc_id", "n_lines", "n_removed", "removed", F.crc32("text").alias("kept_crc32"))
