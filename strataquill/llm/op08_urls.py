@@ -2,7 +2,8 @@
 
 Trust is a personalised PageRank from hosts with allowed pages along links; distrust is one from hosts with blocked
 pages against them. Edges are links in the pages (counted by host pair before any iteration) and the two-way edge
-between a host and the domain above it.
+between a host and the domain above it. Both ranks are iterated until no host's rank changes by more than TOLERANCE of
+itself, so a host any number of edges away from a seed has its rank, and verdicts compare converged ones.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from strataquill.llm.common import ascii_lower, discard, materialise
 # The rules (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
-DAMPING, ROUNDS = 0.85, 6
+DAMPING, TOLERANCE = 0.85, 1e-6
+#: Rounds between two writes of the ranks, where their change is measured.
+STEP = 4
 #: A page without a rule is blocked if its host's distrust is over this share of distrust and trust.
 LIMIT = 0.5
 
@@ -49,22 +52,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank) from seeds (host, seed; summing to 1) along edges. Each round joins the ranks with the edges and
-    sums by target, partially before the shuffle; every third is written out, to cut the lineage."""
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank) from seeds (host, seed) along edges, after so many rounds, or if none are given after the first of
+    them in which no rank changes by more than tolerance of itself; a change cannot grow later, as it is at most the
+    largest among the host's sources. Each round joins the ranks with the edges and sums by target, partially before
+    the shuffle; every STEP rounds they are written out, to cut the lineage."""
     out = edges.groupBy("src").agg(F.sum("w").alias("all"))
     share = materialise(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("p")), "share")
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    ranks, kept = seeds.select("host", F.col("seed").alias("rank")), None
-    for n in range(1, rounds + 1):
+    ranks, kept, n = seeds.select("host", F.col("seed").alias("rank")), None, 0
+    while rounds is None or n < rounds:
+        n += 1
+        last = n % STEP == 0 or n == rounds
         moved = share.join(ranks, share.src == ranks.host).select(F.col("dst").alias("host"), (F.col("p") * F.col("rank") * damping).alias("rank"))
-        ranks = moved.union(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if n % 3 == 0 or n == rounds:
-            ranks = materialise(ranks, "ranks")
+        both = moved.union(start)
+        if last:  # the ranks before this round go along
+            both = both.withColumn("was", F.lit(0.0)).union(ranks.select("host", F.lit(0.0), "rank"))
+            ranks = materialise(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")).where("rank > 0"), "ranks")
             if kept is not None:
                 discard(kept)
             kept = ranks
-    return ranks
+            if rounds is None and (ranks.agg(F.max(F.abs(F.col("rank") - F.col("was")) / F.col("rank"))).first()[0] or 0.0) <= tolerance:
+                break
+            ranks = ranks.select("host", "rank")
+        else:
+            ranks = both.groupBy("host").agg(F.sum("rank").alias("rank"))
+    return ranks.select("host", "rank")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
@@ -77,11 +90,13 @@ def filter_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFram
     rows = materialise(judged.select("page_id", "host", "path", "rule", "ruled"), "judged")
     by = materialise(rows.where("ruled is not null").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block")), "seeds")
     sums = by.agg(F.sum("allow"), F.sum("block")).first()
-    score = {}
-    for verdict, total, along in (("allow", sums[0], edges), ("block", sums[1], edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))):
-        seeds = by.where(F.col(verdict) > 0).select("host", (F.col(verdict) / F.lit(float(total or 1))).alias("seed"))
-        score[verdict] = propagate(along, seeds)
-    trust, distrust = score["allow"].withColumnRenamed("rank", "trust"), score["block"].withColumnRenamed("rank", "distrust")
+    # one iteration for both: their hosts differ by a sign before the name
+    tagged = lambda sign, c: F.concat(F.lit(sign), F.col(c)).alias(c)
+    along = edges.select(tagged("+", "src"), tagged("+", "dst"), "w")
+    against = edges.select(tagged("-", "src"), tagged("-", "dst"), "w").toDF("dst", "src", "w").select("src", "dst", "w")
+    seeds = [by.where(F.col(verdict) > 0).select(tagged(sign, "host"), (F.col(verdict) / F.lit(float(total or 1))).alias("seed")) for sign, verdict, total in (("+", "allow", sums[0]), ("-", "block", sums[1]))]
+    ranks = propagate(along.union(against), seeds[0].union(seeds[1]))
+    trust, distrust = (ranks.where(F.col("host").startswith(sign)).select(F.expr("substring(host, 2)").alias("host"), F.col("rank").alias(name)) for sign, name in (("+", "trust"), ("-", "distrust")))
     share = F.round(F.coalesce("distrust", F.lit(0.0)) / (F.coalesce("trust", F.lit(0.0)) + F.coalesce("distrust", F.lit(0.0))), 9)
     bad = materialise(distrust.join(trust, "host", "full").withColumn("share", share).where(F.col("share") > limit).select(F.col("host").alias("__host"), "share"), "badhosts")
     out = rows.join(bad, rows.host == bad["__host"], "left")

@@ -420,6 +420,23 @@ def test_propagate(spark):
     assert np.allclose([out["a"], out["b"], out["c"]], r)
 
 
+def test_propagate_converges(spark):
+    from strataquill.llm.op08_urls import filter_urls, propagate
+
+    n = 30  # a chain of 30 hosts from the seed, and a cycle at its end
+    edges = [(f"h{i:02}", f"h{i + 1:02}", 1.0) for i in range(n)] + [(f"h{n}", f"h{n - 2}", 1.0)]
+    out = {r.host: r["rank"] for r in propagate(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame([("h00", 1.0)], "host string, seed double")).collect()}
+    m = np.zeros((n + 1, n + 1))
+    for s, d, _ in edges:
+        m[int(d[1:]), int(s[1:])] = 1 / sum(e[0] == s for e in edges)
+    want = np.linalg.solve(np.eye(n + 1) - 0.85 * m, 0.15 * np.eye(n + 1)[0])
+    assert np.allclose([out[f"h{i:02}"] for i in range(n + 1)], want, rtol=1e-4)
+    # pages 0 to 9 link on to a blocked page, ten edges away from the first
+    pages = [(i, f"http://c{i}.x/", f'<a href="http://c{i + 1}.x/">') for i in range(10)] + [(10, "http://c10.x/bad", "")]
+    verdicts = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules=[("block", "c10.x", "/bad")]).collect()}
+    assert verdicts == {i: "block" for i in range(11)}
+
+
 def test_op5(spark, corpus):
     import duckdb
 
