@@ -173,15 +173,21 @@ class Encoder:
 
     def _look_up(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(chunks, letters first; all their ids; counts). A chunk of letters is one piece to the pre-tokenizer, whose
-        last id alone is a word end, so such chunks are encoded in runs and cut there."""
+        last id alone is a word end, so such chunks are encoded in runs and cut there; a run in which this does not hold is not used."""
         plain = [c.decode() for c in chunks]
-        alpha = [c for c, p in zip(chunks, plain) if p.isalpha()] if self.ends is not None else []
-        runs = [b" ".join(alpha[i : i + 256]).decode() for i in range(0, len(alpha), 256)]
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1) if alpha else np.zeros(0, np.int64)
-        if len(sizes) != len(alpha):
-            raise AssertionError("a run of letters was not one piece")
+        letters = [c for c, p in zip(chunks, plain) if p.isalpha()] if self.ends is not None else []
+        runs = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        alpha, parts, sizes = [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b" ".join(r).decode() for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            # every piece has one word end, so as many ends as chunks mean one piece each; the normaliser can break
+            # letters into several (a dotted capital I, some Devanagari letters), and then the run's chunks go singly
+            if len(ends) == len(run):
+                alpha += run
+                parts.append(ids)
+                sizes.append(np.diff(ends, prepend=-1))
+        ids, sizes = np.concatenate(parts), np.concatenate(sizes)
         met = set(alpha)
         rest = [c for c in chunks if c not in met]
         lists = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)]

@@ -78,6 +78,20 @@ def test_op2(spark, corpus, docs):
     assert ids == sorted(ids, key=lambda d: (d is not None, d))
 
 
+def test_op2_letters_of_several_pieces():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from strataquill.llm.op02_tokens import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["plain words İstanbul here", "\u0958 \u0958\u0932\u092e hindi", "İ. ǅ ﬁne ß ŉ \u1e9e", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)) + " İzmir"]
+    ids, counts = Encoder(path).encode([x.encode() for x in texts])
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+
+
 def test_simple8b_round_trip():
     from strataquill.llm.op02_tokens import BLOCK, pack, read_segment, segment, unpack
 
