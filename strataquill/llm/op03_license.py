@@ -1,10 +1,11 @@
 """License scans: phrases by place, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a line; its set holds its words. A template T matches every block that contains at least THRESHOLD of T's
-words. Words are ordered by their frequency over all documents, rarest first. Of T only the first |T| - need + 1 words
+A block is a line, or any run of as many words as the template has, over line ends too (hard-wrapped notices); its set
+holds its words. A template T matches every block that contains at least THRESHOLD of T's words. Words are ordered by their frequency over all documents, rarest first. Of T only the first |T| - need + 1 words
 (its prefix) can be the first that a matching block shares, so blocks without a prefix word never get further
 (prefix filter); blocks with fewer known words than needed go (length filter), and so do those where too few words
-are left after the first shared one on either side (positional filter); the rest are counted exactly. The templates
+are left after the first shared one on either side (positional filter); the rest are counted exactly. Runs of words are compared only in texts of several lines whose whole set of words passes
+these filters for T, as every part's set lies in it, and only from one of T's words on. The templates
 are a bounded list, so the index travels with the plan: no block is shuffled and no row leaves its partition.
 """
 
@@ -72,6 +73,27 @@ def template_matches(block: Column, order: list[str], templates=TEMPLATES, thres
     return F.filter(F.array(*found), lambda m: m.isNotNull())
 
 
+def wrapped_matches(words: Column, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """array<struct<label, score>> of the templates found in runs of consecutive words, each as long as the template;
+    words: all words of a text (a lambda's variable). A run that starts before its first template word holds no more
+    of them than the one from that word on, so only those are looked at."""
+
+    def best(label: str, text: str, known: Column) -> Column:
+        have = _texts(sorted(set(text.split())))
+        size, length = len(set(text.split())), len(text.split())
+        need = math.ceil(threshold * size - 1e-9)
+        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(have, F.element_at(words, i)))
+        shared = F.transform(starts, lambda i: F.size(F.array_intersect(have, F.slice(words, i, F.lit(length)))))
+        most = F.coalesce(F.array_max(shared), F.lit(0))
+        found = let(most, lambda m: F.when(m >= need, F.struct(F.lit(label).alias("label"), (m / F.lit(size)).alias("score"))))
+        return F.when(F.size(F.array_intersect(have, known)) >= need, found)
+
+    def all_of(known: Column) -> Column:
+        return F.filter(F.array(*[best(label, text, known) for label, text in templates]), lambda m: m.isNotNull())
+
+    return let(F.array_intersect(_texts(order), words), all_of)
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text and any others) with n_words, n_base, first_word, last_word, base_labels, matches, labels,
     score. Null texts are empty. Rows, repeated ones too, stay as they are; an empty table gives none.
@@ -82,12 +104,15 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     starts = {w for _, t in templates for ws in [[w for w in order if w in t.split()]] for w in ws[: len(ws) - math.ceil(threshold * len(ws) - 1e-9) + 1]}
     near = "(?:^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?i:" + "|".join(sorted(starts)) + ")(?:$|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
 
+    def wrapped(t: Column) -> Column:
+        return let(F.split(_normal(t), " "), lambda words: wrapped_matches(words, order, templates, threshold))
+
     def blocks(t: Column) -> Column:
         lines = F.filter(F.split(t, "\n", -1), lambda line: line.rlike(near))
         return F.flatten(F.transform(lines, lambda line: let(F.array_intersect(_texts(order), F.split(_normal(line), " ")), lambda b: template_matches(b, order, templates, threshold))))
 
     empty = F.array().cast("array<struct<label:string,score:double>>")
-    out = docs.withColumn("matches", F.when(text.rlike(near), let(text, blocks)).otherwise(empty)).withColumn("__n", _normal(text))
+    out = docs.withColumn("matches", F.when(text.rlike(near), F.concat(let(text, blocks), F.when(text.contains("\n"), let(text, wrapped)).otherwise(empty))).otherwise(empty)).withColumn("__n", _normal(text))
     n = F.col("__n")
     out = out.withColumn("n_words", F.when(n == "", 0).otherwise(F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1).cast("long"))
     out = out.withColumn("__p", F.concat(F.lit(" "), n, F.lit(" ")))

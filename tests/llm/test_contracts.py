@@ -133,6 +133,22 @@ def test_op3(spark, corpus, docs):
     assert Counter({(*k[:-1], round(k[-1], 9)): n for k, n in out.items()}) == want
 
 
+def test_op3_wrapped_notices(spark):
+    from strataquill.llm.op03_license import TEMPLATES, scan_licenses
+
+    texts = []
+    for label, t in TEMPLATES:
+        words = t.split()
+        for width in (1, 2, 3, 5, 8):
+            lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+            texts.append((label, "code();\n# " + "\n# ".join(lines) + ", and so on\nmore"))
+    texts.append(("", "permission is given\n" + "hereby some other words stand between\n" * 5 + "granted free of charge\n" * 2 + "to any person"))
+    out = scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    for r in out:
+        label = texts[r.doc_id][0]
+        assert label in r.labels.split(",") and (r.score == 1.0 if label else r.score == 0.0), r
+
+
 def test_op4(spark, corpus, docs):
     from strataquill.llm.op04_secrets import COMPLEMENTS, KINDS, PATTERNS, SCOPE, op4_secrets
 
