@@ -29,12 +29,12 @@ def item_words(text: bytes) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton; items: (item_id, words), each with at least one word."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.items: list[str] = [i for i, _ in items]
+        self.items: list[str | None] = [i for i, _ in items]
         marks: list[set[int]] = [set()]  # items in which a state's strings occur, from their prefix states
         self.whole: dict[int, list[int]] = {}  # state -> short items that it ends
         self.shortest = min((min(len(w), window) for _, w in items), default=window)
@@ -84,7 +84,7 @@ class Automaton:
         return new
 
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[int]]:
-        """Hit spans [first word, end) in order, merged, and the items with occurring windows."""
+        """Hit spans [first word, end) in order, merged where they overlap, and the items with occurring windows."""
         get = self.vocab.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         known = np.flatnonzero(np.diff(np.r_[False, ids >= 0, False].astype(np.int8)))
@@ -120,7 +120,7 @@ class Automaton:
                     s = link[s]
             if hit:
                 first = end - hit
-                while spans and spans[-1][1] >= first:
+                while spans and spans[-1][1] > first:
                     first = min(first, spans.pop()[0])
                 spans.append([first, end])
 
@@ -128,7 +128,7 @@ class Automaton:
 def _automata(benchmark: DataFrame, window: int, limit: int) -> Iterator[Automaton]:
     """Automata over at most `limit` words each (a longer item is one of its own); items stream to the driver."""
     group, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         words = item_words((row[1] or "").encode())
         if words and group and size + len(words) > limit:
             yield Automaton(group, window)
@@ -145,7 +145,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, lim
 
     With cut the texts come back without the spans; n_words and spans are of the whole texts.
 
-    Null texts have no words; null item_ids are skipped; an item without words matches nothing; repeated items and
+    Null texts have no words; an item without item_id counts in spans, not in items; an item without words matches nothing; repeated items and
     rows count each. An empty benchmark gives empty spans. Existing columns of these names are replaced."""
     schema_in = docs.drop("n_words", "spans", "items")
     out = schema_in.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<array<int>>"), "items": F.array().cast("array<string>")})
@@ -173,7 +173,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, lim
                         texts.append(cut_words(raw, found) if found else raw)
                     counts.append(len(words))
                     spans.append(found)
-                    items.append(sorted({names[i] for i in ids} | set(had_items.as_py())))
+                    items.append(sorted({names[i] for i in ids if names[i] is not None} | set(had_items.as_py())))
                 new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
                 kept_columns = batch.columns[:-3]
                 if cut_now:
@@ -192,7 +192,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, lim
 def _union(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
+        if out and s < out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
             out.append([s, e])
@@ -206,10 +206,11 @@ def cut_words(text: bytes, spans: list[list[int]]) -> bytes:
     plain = np.frombuffer(text.translate(_TABLE), np.uint8) != 0x20
     edges = np.flatnonzero(np.diff(np.r_[False, plain, False].astype(np.int8)))
     begins, ends = edges[::2], edges[1::2]
-    out, at = [], 0
+    out, at, upto = [], 0, -1
     for s, e in spans:
-        out.append(text[at : begins[s]])
-        at = ends[e - 1]
+        if s != upto:  # what lies between touching spans goes too
+            out.append(text[at : begins[s]])
+        at, upto = ends[e - 1], e
     return b"".join([*out, text[at:]])
 
 

@@ -221,6 +221,17 @@ def test_automaton_against_brute_force(spark):
     assert match_benchmark(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_items_without_id_are_cut(spark):
+    from strataquill.llm.op06_decontaminate import decontaminate, match_benchmark
+
+    docs = spark.createDataFrame([(1, "own " * 20 + "a b c d,  e f g h and " + "more " * 20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c d"), (2, "e f g h")], "item_id long, text string")
+    for limit in (1000, 4):
+        r = match_benchmark(docs, bench, 4, limit).first()
+        assert sum(e - s for s, e in r.spans) == 8 and r.items == ["2"]
+    assert decontaminate(docs, bench, 4).first().text == "own " * 20 + " and " + "more " * 20
+
+
 def brute_simhash(t, width=3):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
     w = words_blank(w)
