@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,21 +15,48 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 NON_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Rows of one key that a join leaves to one task; a key of more is dealt into parts.
+HOT = 2000
+
 _own: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where that is unset, a folder of our own, but only if driver
+    and executors are one process on one machine; on a cluster that fails."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: the operators need a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="strataquill-"))
     return _own[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: tuple[str, ...] = ()):
+    """Tables written to new paths inside are deleted at the end: what was computed from them must be written by then.
+    Around no such block they stay, as results that are not computed yet read them."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        mine = [p for p in _made[before:] if p not in keep]
+        _made[before:] = [p for p in _made[before:] if p in keep]
+        for path in mine:
+            _delete(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -40,11 +70,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialise that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by materialise that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch)
+        if df._scratch in _made:
+            _made.remove(df._scratch)
+
+
+def split_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """rows joined with keyed (key, n, others), one row a key; n: how many rows have the key. keyed is a written table.
+
+    Keys of over `hot` rows are dealt into parts, each with a copy of the keyed row, so no task gets one key whole.
+    There are at most as many such keys as rows / hot; Spark broadcasts their list if it measures small."""
+    parts = F.ceil(F.col("n") / hot).cast("int")
+    many = keyed.where(F.col("n") > hot).select(F.col(key).alias("__key"), parts.alias("__parts"))
+    left = rows.join(many, rows[key] == F.col("__key"), "left").drop("__key")
+    salt = F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("array")])
+    left = left.withColumn("__part", F.coalesce(F.pmod(salt, F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    right = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right.drop("n") if how != "left_semi" else right, [key, "__part"], how).drop("__part")
+
+
+def as_text(values: list[bytes | None]) -> pa.Array:
+    """A string column of bytes as they are; Arrow's cast would refuse those that are not UTF-8."""
+    raw = pa.array(values, pa.binary())
+    return pa.Array.from_buffers(pa.string(), len(raw), raw.buffers(), raw.null_count, raw.offset)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -354,77 +354,6 @@ def test_host_verdicts(spark):
     assert 0.5 < out["new"].rate < 1 and out["bad"].rate < 0.95
 
 
-def test_op7(spark, corpus):
-    from strataquill.llm.op07_lines import dedup_lines, windows
-
-    df = spark.read.parquet(f"{corpus}/documents.parquet")
-    rows = [(r.doc_id, r.th, r.text) for r in df.selectExpr("doc_id", "xxhash64(coalesce(text, '')) th", "text").distinct().collect()]
-    first, every = {}, defaultdict(list)
-    key = lambda d, th: (d is not None, d or 0, th)
-    for d, th, t in sorted(rows, key=lambda r: key(r[0], r[1])):
-        lines = [(n, s) for n, line in enumerate((t or "").split("\n")) if (s := line.strip())]
-        for i in range(len(lines)):
-            n = 0
-            for j in range(i, len(lines)):
-                n += len(lines[j][1].split())
-                if n >= 50 or j - i == 2:
-                    w = tuple(s for _, s in lines[i : j + 1])
-                    place = (d, th, lines[i][0], lines[j][0])
-                    first.setdefault(w, place)
-                    every[w].append(place)
-                    break
-    gone = defaultdict(set)
-    for w, places in every.items():
-        f = first[w]
-        for p in places:
-            if p[:2] != f[:2] or p[2] > f[3]:
-                gone[p[:2]].update(range(p[2], p[3] + 1))
-    out = dedup_lines(df).collect()
-    assert len(out) == df.count()
-    by = {(d, t): (th, sorted(gone[(d, th)])) for d, th, t in rows}
-    want = Counter()
-    for r in df.collect():
-        th, g = by[(r.doc_id, r.text)]
-        kept = None if r.text is None else "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in g)
-        want[(r.doc_id, kept, tuple(g))] += 1
-    assert Counter((r.doc_id, r.text, tuple(r.removed)) for r in out) == want
-    assert sum(len(k[2]) for k in want) > 5
-    assert windows(b"") == []
-
-
-def brute_maximal_runs(texts, min_lines=3, min_words=50):
-    """Lines to delete: in a run equal to an earlier run that it doesn't overlap, extended as far as both are equal."""
-    lines = [[(n, s) for n, line in enumerate(t.split("\n")) if (s := line.strip())] for t in texts]
-    gone = [set() for _ in texts]
-    for d, own in enumerate(lines):
-        for e in range(d + 1):
-            for i in range(len(own)):
-                for j in range(len(lines[e]) if e < d else i):
-                    n = 0
-                    while i + n < len(own) and j + n < (len(lines[e]) if e < d else i) and own[i + n][1] == lines[e][j + n][1]:
-                        n += 1
-                    if n >= min_lines or sum(len(s.split()) for _, s in own[i : i + n]) >= min_words:
-                        gone[d].update(range(own[i][0], own[i + n - 1][0] + 1) if n else ())
-    return [sorted(g) for g in gone]
-
-
-def test_op7_maximal_runs(spark, tmp_path):
-    from strataquill.llm.op07_lines import op7_lines
-
-    a, b, c = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(10)), " ".join(f"c{i}" for i in range(10))
-    texts = [f"{a}\n{b}\n\n{c}\nown first", f"before\n{a}\n{b}\n{c}\nown second", f"{b}\n{a}\n{c}", f"x\n{a}\n{c}\n{b}"]
-    x, y, z = " ".join(f"x{i}" for i in range(45)), " ".join(f"y{i}" for i in range(10)), "z1 z2 z3 z4 z5"
-    texts += [f"{x}\n{y}\n{z}\none", f"{x}\n{y}\n{z}\nother"]
-    rng = np.random.default_rng(6)
-    pool = [" ".join(f"p{k}_{i}" for i in range(n)) for k, n in enumerate((1, 2, 5, 20, 30, 48, 52, 70))]
-    texts += ["\n".join(pool[k] for k in rng.integers(0, 8, 12)) for _ in range(25)]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r.doc_id: r.removed for r in op7_lines(spark, str(tmp_path)).collect()}
-    want = brute_maximal_runs(texts)
-    assert [sorted(out[i]) for i in range(len(texts))] == want
-    assert want[1] == [1, 2, 3] and want[5] == [0, 1, 2]
-
-
 def test_op8(spark, corpus, tmp_path):
     from strataquill.llm.op08_urls import RULES, filter_urls, op8_urls
 
