@@ -82,14 +82,16 @@ def split_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
     """rows joined with keyed (key, n, others), one row a key; n: how many rows have the key. keyed is a written table.
 
     Keys of over `hot` rows are dealt into parts, each with a copy of the keyed row, so no task gets one key whole.
-    There are at most as many such keys as rows / hot; Spark broadcasts their list if it measures small."""
+    Their list is written apart (at most rows / hot keys), so that Spark broadcasts it only if it measures small."""
     parts = F.ceil(F.col("n") / hot).cast("int")
-    many = keyed.where(F.col("n") > hot).select(F.col(key).alias("__key"), parts.alias("__parts"))
-    left = rows.join(many, rows[key] == F.col("__key"), "left").drop("__key")
+    if (keyed.agg(F.max("n")).first()[0] or 0) <= hot:
+        return rows.join(keyed if how == "left_semi" else keyed.drop("n"), key, how)
+    many = materialise(keyed.where(F.col("n") > hot).select(F.col(key).alias("__key"), parts.alias("__parts")), "hot")
     salt = F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("array")])
+    left = rows.join(many, rows[key] == F.col("__key"), "left").drop("__key")
     left = left.withColumn("__part", F.coalesce(F.pmod(salt, F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
     right = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return left.join(right.drop("n") if how != "left_semi" else right, [key, "__part"], how).drop("__part")
+    return left.join(right if how == "left_semi" else right.drop("n"), [key, "__part"], how).drop("__part")
 
 
 def as_text(values: list[bytes | None]) -> pa.Array:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataquill.llm.common import discard, materialise
+from strataquill.llm.common import HOT, discard, materialise, split_join
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """edges (a, b) of longs -> (node, root) for each node that has an edge; root is the component's least node.
 
     Each round is two aggregations and joins over the edges, written to the shared folder; rounds grow with the
-    logarithm of the component size. No component is gathered in memory, but a hub's edges are joined with its least
-    neighbour in one task, which streams them: AQE does not split a join that reads an aggregate. Loops and repeated edges are allowed; no edges give no rows."""
+    logarithm of the component size. No component is gathered in memory, and a node of over `hot` edges meets its least
+    neighbour in several tasks. Loops and repeated edges are allowed; no edges give no rows."""
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, seen = materialise(ordered, "edges"), None
     while True:
@@ -22,10 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
         seen = state
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = split_join(both, least, "u", hot=hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct(), "large")
+        floor = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "floor")
+        moved = split_join(large, floor, "u", hot=hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = materialise(moved.union(floor.select("u", "m")).distinct(), "edges")
-        discard(now)
+        discard(now, least, large, floor)
         now = following

@@ -1,14 +1,13 @@
 """SimHash near-duplicates: blocked candidates, a pivot distance table, exact Hamming verification, components.
 
-Blocking never pairs rows: documents are first collapsed to distinct fingerprints, each fingerprint goes to the
-buckets of its block keys, and a bucket yields a spanning forest of its links rather than all its pairs.
-* radius <= 2: the 64 bits are cut into four bands; two fingerprints that differ in at most two bits agree on at
-  least two whole bands, so the six band pairs are exact block keys.
-* larger radii: the keys are bands of MinHash values of the same shingles (recall by design; see LSH_BANDS).
-Within a bucket, Hamming distances to PIVOTS reference fingerprints are tabulated; by the triangle inequality a pair
-whose largest coordinate difference exceeds the radius cannot link and is discarded; survivors are verified.
-
-near_dedup, the pipeline's stage, links by exact Jaccard similarity of the shingles instead of by fingerprints.
+Documents are first collapsed to distinct fingerprints. The pivot table holds the Hamming distance of each of them to
+PIVOTS reference fingerprints; by the triangle inequality a pair whose largest coordinate difference exceeds the radius
+cannot link and is discarded, and survivors are verified. Which pairs are compared at all is set by blocking: the 64
+bits are cut into four bands, and two fingerprints that differ in at most two bits agree on at least two whole bands,
+so the six band pairs are exact block keys. A bucket yields a spanning forest of its links rather than all its pairs.
+
+near_dedup, the pipeline's stage, verifies survivors by the exact Jaccard similarity of the shingle sets; its blocks are
+bands of MinHash values, and its radius is so wide that it loses no pair of that similarity.
 """
 
 from __future__ import annotations
@@ -20,10 +19,10 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataquill.llm.common import materialise, text_hash
+from strataquill.llm.common import discard, materialise, split_join, text_hash
 from strataquill.llm.components import components
 
 #: Reference fingerprints in the pivot table; any fixed set is right, random ones prune well.
@@ -31,8 +30,11 @@ PIVOTS = np.random.default_rng(9).integers(0, 2**64, 24, dtype=np.uint64)
 #: Bands and rows of MinHash blocking: a pair of Jaccard similarity 0.8 shares a band with probability 0.9998.
 LSH_BANDS, LSH_ROWS = 12, 3
 _ODD = np.random.default_rng(5).integers(0, 2**63, LSH_BANDS * LSH_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Above this many distinct fingerprints in a bucket, radius <= 2 links them through one-bit neighbours instead.
+#: Above this many distinct fingerprints in a bucket, they are linked through one-bit neighbours instead.
 BUCKET = 4096
+#: Bits in which the fingerprints of similar sets may differ, from so many shingles on: at a Jaccard similarity of 0.8 a
+#: bit differs with probability 0.151, so over RADIUS of them differ with 2e-8; smaller sets are compared without it.
+RADIUS, RADIUS_FROM = 26, 50
 #: Parts in which the members of a component are joined with its id.
 SALTS = 16
 #: Shingles of a candidate component that one task compares at once (8 bytes each, and as much again for a second part).
@@ -75,36 +77,38 @@ def minhash_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def fingerprints(docs: DataFrame, width: int, seed: int = 42, keys: bool = False) -> DataFrame:
-    """(doc_id, th, fp[, keys]) for each row; null texts are empty. Whole texts, one at a time."""
+def fingerprints(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
+    """(doc_id, th, fp) for each row; null texts are empty. Whole texts, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, bands = [], []
-            for text in batch.column(2).cast(pa.binary()):
-                hashes = shingle_hashes(text.as_py() or b"", width, seed)
-                fps.append(simhash(hashes))
-                if keys:
-                    bands.append(minhash_keys(hashes).view(np.int64))
-            out = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(bands, pa.list_(pa.int64()))] * keys, ["doc_id", "th", "fp", "keys"][: 3 + keys])
+            fps = [simhash(shingle_hashes(text.as_py() or b"", width, seed)) for text in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "th", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, fp long" + ", keys array<long>" * keys)
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
+
+
+def pivot_distances(fp: Column) -> Column:
+    """The row of a fingerprint in the pivot table: its Hamming distance to each of PIVOTS."""
+    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(int(p)))).cast("tinyint") for p in PIVOTS.view(np.int64)])
+
 
+def far_apart(table: np.ndarray, row: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of the pivot table differ from `row` by more than the radius in some coordinate: by the triangle
+    inequality their fingerprints are farther apart than that."""
+    return np.abs(table - row).max(-1, initial=0) > radius
 
-def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+
+def _forest(fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints (indices): pivot filter, then verification."""
-    if len(fps) == 2:
-        return [(0, 1)] if int(fps[0] ^ fps[1]).bit_count() <= radius else []
-    table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], table[order]
     root, links = np.arange(len(fps)), []
     stops = np.searchsorted(table[:, 0], table[:, 0] + radius, "right")
     for i, stop in enumerate(stops):
         near = i + 1 + np.flatnonzero(root[i + 1 : stop] != root[i])
-        near = near[np.abs(table[near] - table[i]).max(1, initial=0) <= radius]
+        near = near[~far_apart(table[near], table[i], radius)]
         near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
         for j in near:
             if root[j] != root[i]:
@@ -120,101 +124,97 @@ def _neighbours(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(fps, 64), (fps[:, None] ^ bits[None, :]).ravel()
 
 
-def bucket_links(keyed: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
-    """keyed (k, fp) -> spanning links (a, b). Buckets are streamed in key order from sorted partitions.
+def bucket_links(keyed: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """keyed (k, fp, pivots) -> edges (a, b) with the components of all links at distance <= radius (at most 2) in a
+    bucket k. Buckets are streamed in key order from sorted partitions.
+
+    A bucket of up to `bucket` members is held as 32 bytes a member; one of more goes on through one-bit neighbours,
+    which need no memory and are exact for radius 2, so for smaller radii it fails."""
+    if radius > 2:
+        raise ValueError("fingerprints link at two differing bits at most")
 
-    A bucket is held as 8 bytes a member. For radius <= 2 a bucket beyond `bucket` members switches to one-bit
-    neighbours, which need no memory; for larger radii it goes on exactly, member against earlier members."""
+    def made(a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.uint64).view(np.int64)), pa.array(np.asarray(b, np.uint64).view(np.int64))], ["a", "b"])
+
+    def forest(fps: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+        links = _forest(fps, table, radius)
+        return made(fps[[x for x, _ in links]], fps[[y for _, y in links]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = fps = None
-        wide = False
+        key, held, wide = None, [], False  # the bucket that may go on: its members so far, or that it is past `bucket`
 
-        def made(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.uint64).view(np.int64)), pa.array(np.asarray(b, np.uint64).view(np.int64))], ["a", "b"])
+        def finished() -> Iterator[pa.RecordBatch]:
+            if held and sum(len(f) for f, _ in held) > 1:
+                yield forest(np.concatenate([f for f, _ in held]), np.concatenate([t for _, t in held]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = batch.column(0).to_numpy(zero_copy_only=False)
-            f = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if key is not None and not wide:
-                k, f = np.concatenate([np.full(len(fps), key), k]), np.concatenate([fps, f])
-            elif wide and k[0] != key:
-                wide = False
-            cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-            starts, ends = np.r_[0, cuts], np.r_[cuts, len(k)]
-            a, b = [], []
-            for i in np.flatnonzero(ends - starts >= 2):
-                s, e = starts[i], ends[i]
-                if i == len(starts) - 1 and not wide:
-                    continue  # it may go on
-                if wide and i == 0:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            fps = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            table = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(fps), -1)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:]):
+                if keys[s] != key:
+                    yield from finished()
+                    key, held, wide = keys[s], [], False
+                if wide:
+                    yield made(*_neighbours(fps[s:e]))
                     continue
-                group = f[s:e]
-                for x, y in _forest(group, radius):
-                    a.append(group[x])
-                    b.append(group[y])
-            if a:
-                yield made(a, b)
-            if wide and len(starts) > 1:
-                yield made(*_neighbours(f[: ends[0]]))
-                wide = False
-            elif wide:
-                yield made(*_neighbours(f))
-                continue
-            key, fps = k[-1], f[starts[-1] :]
-            if radius <= 2 and len(fps) > bucket:
-                yield made(*_neighbours(fps))
-                wide, fps = True, None
-        if key is not None and not wide and len(fps) > 1:
-            links = _forest(fps, radius)
-            if links:
-                yield made([fps[x] for x, _ in links], [fps[y] for _, y in links])
+                held.append((fps[s:e], table[s:e]))
+                if sum(len(f) for f, _ in held) > bucket:
+                    if radius < 2:
+                        raise ValueError("a bucket is too large for a radius below 2")
+                    yield made(*_neighbours(np.concatenate([f for f, _ in held])))
+                    held, wide = [], True
+        yield from finished()
 
     dealt = keyed.repartition("k").sortWithinPartitions("k", "fp")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _band_keys(fps: DataFrame) -> DataFrame:
+def _band_keys(table: DataFrame) -> DataFrame:
     """Six exact block keys: the pairs of the four 16-bit bands, tagged by pair."""
     band = [F.shiftrightunsigned(F.col("fp"), 48 - 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = [F.shiftleft(F.lit(n).cast("long"), 32) + F.shiftleft(band[i], 16) + band[j] for n, (i, j) in enumerate(combinations(range(4), 2))]
-    return fps.select(F.explode(F.array(*keys)).alias("k"), "fp")
+    return table.select(F.explode(F.array(*keys)).alias("k"), "fp", "pivots")
 
 
 def classes(prints: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
-    """(fp, root, least, row) for every distinct fingerprint, materialised; root is null for one without links, least
-    its least doc_id, row its least (doc_id, th). prints is a materialised result of fingerprints()."""
-    if radius <= 2:
-        keyed = _band_keys(prints.select("fp").distinct())
-    else:
-        keyed = prints.select(F.explode("keys").alias("k"), "fp").distinct()
-    found = components(bucket_links(keyed, radius, bucket))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("row"))
-    return materialise(nodes.join(found, nodes.fp == found.node, "left").select("fp", "root", "least", "row"), "classes")
+    """(fp, root, least, n) for every distinct fingerprint, materialised; root is null for one without links, least is
+    its least doc_id, n its rows. prints is a materialised result of fingerprints(). The pivot table, with one row a distinct
+    fingerprint, is made and written once; every bucket reads its rows from there."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    table = materialise(nodes.withColumn("pivots", pivot_distances(F.col("fp"))), "pivots")
+    found = components(bucket_links(_band_keys(table), radius, bucket))
+    out = materialise(table.drop("pivots").join(found, table.fp == found.node, "left").select("fp", "root", "least", "n"), "classes")
+    discard(table)
+    return out
 
 
 def _component_ids(found: DataFrame) -> DataFrame:
-    """(fp, root, component_id) of a result of classes(). A component's id meets its members in SALTS parts, so that
+    """(fp, root, component_id, n) of a result of classes(). A component's id meets its members in SALTS parts, so that
     no task gets a large component whole; fingerprints without links need no join."""
     linked = found.where("root is not null")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
-    named = linked.select("fp", "root", salt.alias("salt")).join(ids, ["root", "salt"]).select("fp", "root", "component_id")
-    return named.union(found.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id")))
+    named = linked.select("fp", "root", "n", salt.alias("salt")).join(ids, ["root", "salt"]).select("fp", "root", "component_id", "n")
+    return named.union(found.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"), "n"))
 
 
 def simhash_components(docs: DataFrame, width: int = 5, radius: int = 2, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, th, fp, root, component_id) for each row of docs (doc_id, text).
 
-    component_id is the least doc_id in the transitive closure of links at Hamming distance <= radius. Null texts
-    are empty; texts without words have fingerprint zero and link like any other. Repeated rows stay. A null doc_id
-    stays and never names a component that has another id. Other columns are ignored; no rows give no rows."""
-    prints = materialise(fingerprints(docs, width, seed, radius > 2), "prints")
-    named = materialise(_component_ids(classes(prints, radius, bucket)), "named")
-    return prints.drop("keys").join(named, "fp")
+    component_id is the least doc_id in the transitive closure of links at Hamming distance <= radius (at most 2). Null
+    texts are empty; texts without words have fingerprint zero and link like any other. Repeated rows stay. A null
+    doc_id stays and never names a component that has another id. Other columns are ignored; no rows give no rows.
+    Words are runs of bytes, so that bytes that are not UTF-8 are parts of words."""
+    prints = materialise(fingerprints(docs, width, seed), "prints")
+    found = classes(prints, radius, bucket)
+    named = materialise(_component_ids(found), "named")
+    discard(found)
+    return split_join(prints, named, "fp")
 
 
 def shingle_sets(docs: DataFrame, width: int, seed: int = 42) -> DataFrame:
@@ -252,17 +252,24 @@ def _chains(keyed: DataFrame, similarity: float) -> DataFrame:
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links (indices) among sorted sets of hashes with the components of all pairs of at least this Jaccard
-    similarity. Sets meet in their prefixes, rarest hash first, so no such pair is missed; each link is exact."""
+    similarity. Sets meet in their prefixes, rarest hash first, so no such pair is missed; pairs whose rows in the pivot
+    table or whose fingerprints are too far apart are discarded; each link is exact."""
+    fps = np.array([simhash(s) for s in sets], np.uint64)
+    table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
     root, sizes, index, links = np.arange(len(sets)), np.array([len(s) for s in sets]), {}, []
+
+    def far(i: int, j: int) -> bool:
+        return min(sizes[i], sizes[j]) >= RADIUS_FROM and bool(far_apart(table[j], table[i], RADIUS) or int(fps[i] ^ fps[j]).bit_count() > RADIUS)
+
     for i in order:
         own = sets[i]
         prefix = own[np.argsort(counts[np.searchsorted(values, own)], kind="stable")]
         prefix = prefix[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].tolist()
         met = [index[h] for h in prefix if h in index]
         for j in np.unique(np.fromiter(chain.from_iterable(met), np.int64)).tolist() if met else []:
-            if root[i] != root[j] and sizes[j] >= similarity * sizes[i] - 1e-9:
+            if root[i] != root[j] and sizes[j] >= similarity * sizes[i] - 1e-9 and not far(i, j):
                 both = len(np.intersect1d(own, sets[j], assume_unique=True))
                 if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
                     root[root == root[j]] = root[i]

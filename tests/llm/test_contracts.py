@@ -269,22 +269,40 @@ def test_op9(spark, corpus, docs):
     assert got(op9_simhash(spark, corpus), "doc_id", "fingerprint", "component_id") == want
 
 
-@pytest.mark.parametrize("radius,bucket", [(2, 4096), (2, 3), (6, 3)])
+@pytest.mark.parametrize("radius,bucket", [(2, 4096), (2, 3), (1, 4096)])
 def test_bucket_links(spark, radius, bucket):
+    from pyspark.sql import functions as F
+
     from strataquill.llm.components import components
-    from strataquill.llm.op09_simhash import bucket_links
+    from strataquill.llm.op09_simhash import bucket_links, pivot_distances
 
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 2**63, 4, dtype=np.uint64)
     fps = sorted({int(s) ^ int(sum(1 << int(b) for b in rng.choice(20, rng.integers(0, 4), replace=False))) for s in np.repeat(seeds, 30)})
     keyed = spark.createDataFrame([(k, f - 2**64 if f >= 2**63 else f) for f in fps for k in (1, f >> 62)], "k long, fp long").distinct()
-    links = bucket_links(keyed, radius, bucket)
-    root = {r.node: r.root for r in components(links).collect()}
-    want = groups(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= radius)
-    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    for i in range(len(fps)):
-        for j in range(i):
-            assert (root.get(signed[i], signed[i]) == root.get(signed[j], signed[j])) == (want[i] == want[j])
+    links = bucket_links(keyed.withColumn("pivots", pivot_distances(F.col("fp"))), radius, bucket)
+    for hot in (2000, 3):
+        root = {r.node: r.root for r in components(links, hot).collect()}
+        want = groups(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= radius)
+        signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+        for i in range(len(fps)):
+            for j in range(i):
+                assert (root.get(signed[i], signed[i]) == root.get(signed[j], signed[j])) == (want[i] == want[j])
+
+
+def test_pivot_table(spark):
+    from pyspark.sql import functions as F
+
+    from strataquill.llm.op09_simhash import PIVOTS, far_apart, pivot_distances
+
+    fps = np.random.default_rng(4).integers(0, 2**64, 300, dtype=np.uint64)
+    fps[150:] = fps[:150] ^ np.uint64(0b1001)
+    rows = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fps.view(np.int64))], "i long, fp long").select("i", pivot_distances(F.col("fp")).alias("p")).collect()
+    table = np.array([r.p for r in sorted(rows)], np.int8)
+    assert (table == np.bitwise_count(fps[:, None] ^ PIVOTS[None, :])).all()
+    for i in range(150):
+        gone = far_apart(table, table[i], 2)
+        assert not gone[i + 150] and gone.mean() > 0.9
 
 
 def test_near_dedup(spark):
