@@ -174,7 +174,7 @@ class Encoder:
     def _look_up(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(chunks, letters first; all their ids; counts). A chunk of letters is one piece to the pre-tokenizer, whose
         last id alone is a word end, so such chunks are encoded in runs and cut there; a run in which this does not hold is not used."""
-        plain = [c.decode() for c in chunks]
+        plain = [c.decode(errors="replace") for c in chunks]
         letters = [c for c, p in zip(chunks, plain) if p.isalpha()] if self.ends is not None else []
         runs = [letters[i : i + 256] for i in range(0, len(letters), 256)]
         alpha, parts, sizes = [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -190,7 +190,7 @@ class Encoder:
         ids, sizes = np.concatenate(parts), np.concatenate(sizes)
         met = set(alpha)
         rest = [c for c in chunks if c not in met]
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode(errors="replace") for c in rest], add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
         return alpha + rest, np.concatenate([ids, flat]), np.concatenate([sizes, np.fromiter(map(len, lists), np.int64, len(lists))])
 
@@ -243,7 +243,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
 
     tokenizer: a file's path, or a name that the public_tokenizers package resolves. One shard is one range of
     doc_ids, sorted by spilling; a shard is a stream of segments of about SEGMENT ids, so memory is bounded by a
-    batch of rows and the longest text. Null texts are empty. No rows write no segments."""
+    batch of rows and the longest text. Null texts are empty; bytes that are not UTF-8 are read as U+FFFD; other columns
+    are ignored; repeated rows are written each. No rows write no segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataquill.llm.common import materialise, split_words
+from strataquill.llm.common import discard, materialise, split_words
 
 LEVELS = ["domain", "lang", "source"]
 
@@ -20,8 +20,10 @@ LEVELS = ["domain", "lang", "source"]
 WEIGHTS = [("lang", "en", 3.0), ("lang", "de", 1.5)]
 
 
-def default_domain() -> Column:
-    """A source's domain: the first digit of its number, or '-' without one."""
+def default_domain(docs: DataFrame) -> Column:
+    """A row's `domain`, where docs has that column, else its source's: the first digit of its number, or '-'."""
+    if "domain" in docs.columns:
+        return F.col("domain").cast("string")
     return F.coalesce(F.nullif(F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d)\d*$", 1), F.lit("")), F.lit("-"))
 
 
@@ -74,7 +76,7 @@ def mix(docs: DataFrame, fraction: float = 0.5, max_epochs: int = 2, seed: int =
 
     No leaf is sorted as a whole: tokens are summed by leaf and 4,096 stretches of the order, and only rows in the
     stretch that the budget cuts are sorted, so a leaf with a third of all rows spreads over all tasks."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce(domain if domain is not None else default_domain(), F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.size(split_words(F.col("text"))).cast("long").alias("n_tokens"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce(domain if domain is not None else default_domain(docs), F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.size(split_words(F.col("text"))).cast("long").alias("n_tokens"))
     rows = materialise(rows, "tokens")
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     leaves = leaf_budgets(rows, int(total * fraction), max_epochs, weights)
@@ -82,6 +84,7 @@ def mix(docs: DataFrame, fraction: float = 0.5, max_epochs: int = 2, seed: int =
     leaves = materialise(leaves.withColumn("epochs", epochs).withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
     placed = rows.join(leaves, LEVELS).withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     placed = materialise(placed.withColumn("stretch", F.substring("key", 1, 3)), "placed")
+    discard(rows, leaves)
     sums = placed.where("n_tokens > 0 and left > 0").groupBy(*LEVELS, "stretch", "left").agg(F.sum("n_tokens").alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("stretch")) - F.col("n")).where(F.col("before") < F.col("left"))
     sums = sums.withColumn("whole", F.col("before") + F.col("n") <= F.col("left")).select(*LEVELS, "stretch", "before", "whole")
@@ -101,15 +104,18 @@ def _merged(every: DataFrame, prefix: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, fraction: float = 0.8, max_epochs: int = 1, seed: int = 7, weights=WEIGHTS) -> DataFrame:
-    """docs (all columns), each row as often as the mixture takes it."""
-    taken = mix(docs, fraction, max_epochs, seed, weights).select(F.coalesce("doc_id", F.lit(-1)).alias("__d"), F.col("doc_id").isNull().alias("__n"), F.col("th").alias("__t"), "copies")
-    same = docs.withColumns({"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__o": F.col("doc_id").isNull(), "__h": F.md5(F.coalesce("text", F.lit("")))})
-    # a row that is there r times has its copies spread over them: the k-th gets every r-th copy
-    numbered = Window.partitionBy("__i", "__o", "__h")
-    out = same.join(taken, (F.col("__i") == F.col("__d")) & (F.col("__o") == F.col("__n")) & (F.col("__h") == F.col("__t")))
-    out = out.withColumn("__k", F.row_number().over(numbered.orderBy(F.lit(1)))).withColumn("__r", F.count("*").over(numbered))
-    copies = F.expr("(copies + __r - __k) div __r")
-    return out.withColumn("__c", copies).where("__c > 0").withColumn("__e", F.explode(F.sequence(F.lit(1).cast("long"), "__c"))).select(*docs.columns)
+    """docs (all columns, whatever their names), each row as often as the mixture takes it.
+
+    Rows equal in doc_id and text share their copies: the k-th of r such rows, in the order of a hash of all their
+    columns, gets every r-th copy. Rows that are equal in all columns are the same, so a task that runs again after a
+    lost executor deals them alike."""
+    taken = mix(docs, fraction, max_epochs, seed, weights).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("n"), F.col("th").alias("t")).agg(F.sum("copies").alias("copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("i"), F.col("doc_id").isNull().alias("o"), F.md5(F.coalesce("text", F.lit(""))).alias("h"))
+    numbered = Window.partitionBy("i", "o", "h")
+    out = rows.join(taken, (F.col("i") == F.col("d")) & (F.col("o") == F.col("n")) & (F.col("h") == F.col("t")))
+    out = out.withColumn("k", F.row_number().over(numbered.orderBy(F.xxhash64("row")))).withColumn("r", F.count("*").over(numbered))
+    out = out.withColumn("c", F.expr("(copies + r - k) div r")).where("c > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "c"))).select("row.*")
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:

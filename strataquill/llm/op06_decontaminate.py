@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataquill.llm.common import discard, materialise
+from strataquill.llm.common import as_text, discard, materialise
 
-#: Items are split into automata of at most so many words (about 200 bytes a word), streamed over one after another.
+#: Items are split into automata of at most so many words (about 660 bytes a word, once a Python worker), streamed over one after another.
 AUTOMATON_WORDS = 200_000
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
@@ -145,8 +145,9 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, lim
 
     With cut the texts come back without the spans; n_words and spans are of the whole texts.
 
-    Null texts have no words; an item without item_id counts in spans, not in items; an item without words matches nothing; repeated items and
-    rows count each. An empty benchmark gives empty spans. Existing columns of these names are replaced."""
+    Null texts have no words; an item without item_id counts in spans, not in items; an item without words matches
+    nothing; repeated items and rows count each. An empty benchmark gives empty spans, an empty table no rows. Existing
+    columns of these names are replaced. Bytes that are not UTF-8 are parts of words and stay as they are."""
     schema_in = docs.drop("n_words", "spans", "items")
     out = schema_in.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<array<int>>"), "items": F.array().cast("array<string>")})
     automata = list(_automata(benchmark, window, limit)) or [Automaton([], window)]
@@ -177,7 +178,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, lim
                 new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
                 kept_columns = batch.columns[:-3]
                 if cut_now:
-                    kept_columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
+                    kept_columns[text_at] = as_text(texts)
                 yield pa.RecordBatch.from_arrays(kept_columns + new, batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)
@@ -238,3 +239,16 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = match_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+ORACLE = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+size AS (SELECT DISTINCT least(len(w), 10) AS n FROM item WHERE len(w) > 0),
+grams AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+place AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, size WHERE len(w) >= n)),
+hit AS (SELECT r, i, place.n, item_id FROM place JOIN grams USING (g, n)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM low LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
