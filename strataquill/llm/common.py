@@ -35,9 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+def new_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new path in the shared folder; lasting: scratch() leaves it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not lasting:
+        _made.append(path)
+    return path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -46,15 +49,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession, keep: tuple[str, ...] = ()):
-    """Tables written to new paths inside are deleted at the end: what was computed from them must be written by then.
-    Around no such block they stay, as results that are not computed yet read them."""
-    before = len(_made)
+def scratch(spark: SparkSession):
+    """Tables that materialise writes inside are deleted at the end, but for those given to the function it yields: what
+    was computed from them must be written by then. Without such a block they stay, as results that are not computed yet
+    read them."""
+    before, kept = len(_made), []
     try:
-        yield
+        yield lambda df: kept.append(df._scratch)
     finally:
-        mine = [p for p in _made[before:] if p not in keep]
-        _made[before:] = [p for p in _made[before:] if p in keep]
+        mine = [p for p in _made[before:] if p not in kept]
+        _made[before:] = [p for p in _made[before:] if p in kept]
         for path in mine:
             _delete(spark, path)
 

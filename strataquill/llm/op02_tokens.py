@@ -318,7 +318,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 def encode_corpus(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", path: str | None = None, remember: int = REMEMBER, slice_bytes: int = SLICE) -> DataFrame:
     """Write docs' token ids (to path, or a new folder among the shared ones) and return the digests read back."""
-    path = path or new_path(docs.sparkSession, "tokens")
+    path = path or new_path(docs.sparkSession, "tokens", lasting=True)
     write_tokens(docs, path, tokenizer, remember, slice_bytes)
     return read_tokens(docs.sparkSession, path)
 

@@ -324,16 +324,16 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, part: i
 
     Documents are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8, which is checked
     exactly for each link; candidates share a MinHash band, as a pair at just 0.8 does with probability 0.9998. Rows
-    keep their columns; texts without words form one group. The row that stays is found by two aggregations, over
-    shingle sets and over components; no component is joined with its rows."""
+    keep their columns, whatever their names; texts without words form one group. The row that stays is found by two aggregations, over
+    shingle sets and over components; no component is joined with its rows. An empty table gives none."""
     prints = materialise(shingle_sets(docs, width), "prints")
     found = components(verified_links(docs, prints, similarity, width, part)).withColumnRenamed("node", "member")
     nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("row"))
     linked = nodes.join(found, F.col("node") == F.col("member"), "left")
     keep = materialise(linked.groupBy(F.coalesce("root", "node")).agg(F.min("row").alias("row")).select("row.*"), "keep")
-    keyed = docs.withColumn("__th", text_hash())
-    same = keyed["doc_id"].eqNullSafe(keep["doc_id"]) & (keyed["__th"] == keep["th"])
-    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), text_hash().alias("t"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["d", "t"]).select("row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
