@@ -1,139 +1,146 @@
 """License scans: phrases by place, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a line, or any run of as many words as the template has, over line ends too (hard-wrapped notices); its set
-holds its words. A template T matches every block that contains at least THRESHOLD of T's words. Words are ordered by their frequency over all documents, rarest first. Of T only the first |T| - need + 1 words
-(its prefix) can be the first that a matching block shares, so blocks without a prefix word never get further
-(prefix filter); blocks with fewer known words than needed go (length filter), and so do those where too few words
-are left after the first shared one on either side (positional filter); the rest are counted exactly. Runs of words are compared only in texts of several lines whose whole set of words passes
-these filters for T, as every part's set lies in it, and only from one of T's words on. The templates
-are a bounded list, so the index travels with the plan: no block is shuffled and no row leaves its partition.
+A text block is any run of consecutive words that is SPAN times as long as the template, over line ends too; its set
+holds its words. A template matches a block that contains at least THRESHOLD of its words, among them those that tell
+it from other licences. The join: words are ordered by their frequency over all documents, rarest first. Of a template
+of n words, need of which must be met, only the first n - need + 1 (its prefix) can be the rarest that a matching block
+shares. Documents meet templates by equality on prefix words. Then a block goes on only if the place of its rarest
+shared word in the template leaves enough words after it (positional filter) and it holds enough of the template's
+words at all (length filter); those blocks are counted exactly, by a join with the template's words in their range. A
+run that starts before its first template word holds no more than the one from that word on, so only those are blocks.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataquill.llm.common import NON_ALNUM, ascii_lower, let
+from strataquill.llm.common import NON_ALNUM, ascii_lower, discard, materialise, text_hash
 
-THRESHOLD = 0.8
+THRESHOLD, SPAN = 0.8, 1.5
 
 # The phrases of the base rule and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Licence notices in their usual wording, and their labels.
+# Labels, licence notices in their usual wording, and the words of theirs that a block can't do without.
 TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc0", "dedicated to the public domain under cc0 1 0 universal"),
-    ("gpl", "licensed under the gnu general public license version 3"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("reserved", "copyright all rights reserved"),
+    ("apache", "licensed under the apache license version 2 0", "apache"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "commons attribution"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc"),
+    ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0"),
+    ("gpl", "licensed under the gnu general public license version 3", "gnu"),
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("reserved", "copyright all rights reserved", "rights reserved"),
 ]
 
 
+def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+    """(label, text, must) of a list of such tuples; a longer list can be given as a table of these columns."""
+    return _rows(spark, ["label", "text", "must"], templates)
+
+
+def _rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table of literals in the plan."""
+    made = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*made)))
+
+
+def need_of(size: int, threshold: float) -> int:
+    return math.ceil(threshold * size - 1e-9)
+
+
 def _normal(c: Column) -> Column:
     """The lower-cased words, each followed by one blank but the last."""
     return F.trim(F.regexp_replace(ascii_lower(c), NON_ALNUM, " "))
 
 
-def _texts(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-
-
-def word_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
-    """The templates' words, rarest first by the number of documents that hold them (ties by word). What reaches
-    the driver is one count for each template word, however large docs is."""
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    held = F.array_intersect(_texts(vocabulary), F.split(_normal(F.coalesce(F.col("text"), F.lit(""))), " "))
-    counts = dict(docs.select(F.explode(held).alias("w")).groupBy("w").count().collect())
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-
-
-def template_matches(block: Column, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """array<struct<label, score>> of the templates that a block matches; block: its known words, rarest first (a
-    lambda's variable)."""
-    found = []
-    for label, text in templates:
-        have = set(text.split())
-        words = [w for w in order if w in have]
-        need = math.ceil(threshold * len(words) - 1e-9)
-        prefix = _texts(words[: len(words) - need + 1])
-        first = F.element_at(F.array_intersect(prefix, block), 1)
-        left = F.least(F.lit(len(words)) - F.array_position(_texts(words), first), F.size(block) - F.array_position(block, first)) + 1
-        shared = F.size(F.array_intersect(_texts(words), block))
-        passes = (F.size(block) >= need) & F.arrays_overlap(prefix, block) & (left >= need) & (shared >= need)
-        found.append(F.when(passes, F.struct(F.lit(label).alias("label"), (shared / F.lit(len(words))).alias("score"))))
-    return F.filter(F.array(*found), lambda m: m.isNotNull())
-
-
-def wrapped_matches(words: Column, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """array<struct<label, score>> of the templates found in runs of consecutive words, each as long as the template;
-    words: all words of a text (a lambda's variable). A run that starts before its first template word holds no more
-    of them than the one from that word on, so only those are looked at."""
-
-    def best(label: str, text: str, known: Column) -> Column:
-        have = _texts(sorted(set(text.split())))
-        size, length = len(set(text.split())), len(text.split())
-        need = math.ceil(threshold * size - 1e-9)
-        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(have, F.element_at(words, i)))
-        shared = F.transform(starts, lambda i: F.size(F.array_intersect(have, F.slice(words, i, F.lit(length)))))
-        most = F.coalesce(F.array_max(shared), F.lit(0))
-        found = let(most, lambda m: F.when(m >= need, F.struct(F.lit(label).alias("label"), (m / F.lit(size)).alias("score"))))
-        return F.when(F.size(F.array_intersect(have, known)) >= need, found)
-
-    def all_of(known: Column) -> Column:
-        return F.filter(F.array(*[best(label, text, known) for label, text in templates]), lambda m: m.isNotNull())
-
-    return let(F.array_intersect(_texts(order), words), all_of)
-
-
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text and any others) with n_words, n_base, first_word, last_word, base_labels, matches, labels,
-    score. Null texts are empty. Rows, repeated ones too, stay as they are; an empty table gives none.
-
-    score: the largest share of a template found in a block, 1 where a phrase stands, else 0."""
-    order = word_order(docs, templates)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    starts = {w for _, t in templates for ws in [[w for w in order if w in t.split()]] for w in ws[: len(ws) - math.ceil(threshold * len(ws) - 1e-9) + 1]}
-    near = "(?:^|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?i:" + "|".join(sorted(starts)) + ")(?:$|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"
-
-    def wrapped(t: Column) -> Column:
-        return let(F.split(_normal(t), " "), lambda words: wrapped_matches(words, order, templates, threshold))
-
-    def blocks(t: Column) -> Column:
-        lines = F.filter(F.split(t, "\n", -1), lambda line: line.rlike(near))
-        return F.flatten(F.transform(lines, lambda line: let(F.array_intersect(_texts(order), F.split(_normal(line), " ")), lambda b: template_matches(b, order, templates, threshold))))
-
-    empty = F.array().cast("array<struct<label:string,score:double>>")
-    out = docs.withColumn("matches", F.when(text.rlike(near), F.concat(let(text, blocks), F.when(text.contains("\n"), let(text, wrapped)).otherwise(empty))).otherwise(empty)).withColumn("__n", _normal(text))
-    n = F.col("__n")
-    out = out.withColumn("n_words", F.when(n == "", 0).otherwise(F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1).cast("long"))
-    out = out.withColumn("__p", F.concat(F.lit(" "), n, F.lit(" ")))
-    padded, places, firsts, lasts, labels = F.col("__p"), [], [], [], []
-    spaces = lambda c: (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("long")
+def _texts(words) -> Column:
+    return F.array(*[F.lit(w) for w in sorted(words)]) if words else F.array().cast("array<string>")
+
+
+def _phrases(n: Column) -> dict[str, Column]:
+    """n_base, first_word, last_word and base (labels) from the normalised text. Where a phrase stands, the words before
+    it are counted by their blanks; doubling them lets neighbouring places of a phrase be counted apart."""
+    padded = F.concat(F.lit(" "), n, F.lit(" "))
+    blanks = lambda c: (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("long")
+    places, firsts, lasts, labels = [], [], [], []
     for phrase, label in PHRASES.items():
         want = f" {phrase} "
         wide = "  ".join(["", *phrase.split(), ""])[1:-1]
         doubled = F.replace(padded, F.lit(" "), F.lit("  "))
         there = padded.contains(want)
         places.append(F.when(there, (F.length(doubled) - F.length(F.replace(doubled, F.lit(wide), F.lit("")))) / len(wide)).otherwise(0).cast("long"))
-        firsts.append(F.when(there, spaces(F.substring(padded, F.lit(1), F.instr(padded, want) - 1))))
+        firsts.append(F.when(there, blanks(F.substring(padded, F.lit(1), F.instr(padded, want) - 1))))
         before = F.length(padded) - (F.instr(F.reverse(padded), want[::-1]) + len(want) - 1)
-        lasts.append(F.when(there, spaces(F.substring(padded, F.lit(1), before))))
+        lasts.append(F.when(there, blanks(F.substring(padded, F.lit(1), before))))
         labels.append(F.when(there, F.lit(label)))
     base = F.array_sort(F.array_distinct(F.filter(F.array(*labels), lambda x: x.isNotNull())))
-    out = out.withColumns({"n_base": sum(places[1:], places[0]), "first_word": F.least(*firsts), "last_word": F.greatest(*lasts), "__b": base})
-    matched = F.col("matches")["label"]
-    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("matches")["score"]), F.lit(0.0)))
-    out = out.withColumns({"base_labels": F.array_join("__b", ","), "labels": F.array_join(F.array_sort(F.array_union("__b", matched)), ","), "score": score})
-    return out.drop("__n", "__p", "__b")
+    return {"n_base": sum(places[1:], places[0]), "first_word": F.least(*firsts), "last_word": F.greatest(*lasts), "base": base}
+
+
+def matches(bodies: DataFrame, held: DataFrame, templates: list, threshold: float = THRESHOLD, span: float = SPAN) -> DataFrame:
+    """(doc_id, th, label, score) of all templates found: bodies (doc_id, th, body) are normalised texts, held (word,
+    docs) the words' frequencies over all documents."""
+    spark = bodies.sparkSession
+    counts = {r.word: r.docs for r in held.collect()}  # one row a template word, however many documents
+    rows, sizes = [], []
+    for t, (label, text, must) in enumerate(templates):
+        words = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
+        need = need_of(len(words), threshold)
+        sizes.append((t, label, len(words), need, len(set(must.split())), math.ceil(span * len(text.split()))))
+        rows += [(t, w, i, i <= len(words) - need, w in must.split()) for i, w in enumerate(words)]
+    of_words = _rows(spark, ["t", "word", "place", "prefix", "must"], rows)
+    of_templates = _rows(spark, ["t", "label", "size", "need", "musts", "span"], sizes)
+    key = ["doc_id", "th", "t"]
+    tokens = bodies.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.struct(F.col("doc_id").isNull().alias("n"), "th").alias("th"), F.posexplode(F.split("body", " ")).alias("pos", "word"))
+    known = materialise(tokens.join(of_words, "word"), "known")
+    met = known.where("prefix").select(*key).distinct()
+    shared = known.join(met, key, "left_semi").join(of_templates, "t")
+    # in steps of a template's span the next 1 is what a block holds; the half keeps the next span's first word out
+    ahead = Window.partitionBy(*key).orderBy(F.col("pos") / (F.col("span") - 0.5)).rangeBetween(0, 1)
+    blocks = shared.withColumn("held", F.count("*").over(ahead)).withColumn("rarest", F.min("place").over(ahead))
+    blocks = blocks.where((F.col("held") >= F.col("need")) & (F.col("size") - F.col("rarest") >= F.col("need")))
+    blocks = blocks.select(*key, F.col("pos").alias("start"), "label", "size", "need", "musts", "span")
+    inside = blocks.join(known.select(*key, "pos", "place", "must"), key).where("pos between start and start + span - 1")
+    exact = inside.groupBy(*key, "start", "label", "size", "need", "musts").agg(F.countDistinct("place").alias("n"), F.countDistinct(F.when(F.col("must"), F.col("place"))).alias("m"))
+    found = exact.where("n >= need and m = musts").groupBy("doc_id", "th", "label").agg(F.max(F.col("n") / F.col("size")).alias("score"))
+    return found.select("doc_id", "th.n", "th.th", "label", "score")
+
+
+def scan_licenses(docs: DataFrame, templates: DataFrame | list = TEMPLATES, threshold: float = THRESHOLD, span: float = SPAN) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, matches, labels, score) for each row of docs (doc_id,
+    text); other columns are ignored. templates: (label, text, must) in a list or table; it reaches the driver.
+
+    The texts are read once; what goes on are counts and, of documents that hold some template's telling words, the
+    normalised text. Null texts are empty. Rows, repeated ones too, stay; null doc_ids stay; no rows give none.
+
+    matches: the templates found, with the share of their words in the best block; score: the largest share, 1 where a
+    phrase stands, else 0."""
+    if isinstance(templates, DataFrame):
+        templates = [tuple(r) for r in templates.select("label", "text", "must").collect()]
+    vocabulary = {w for _, t, _ in templates for w in t.split()}
+    telling = {w for _, _, m in templates for w in m.split()}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), _normal(F.coalesce("text", F.lit(""))).alias("n"))
+    n, words = F.col("n"), F.split("n", " ")
+    n_words = F.when(n == "", 0).otherwise(F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1).cast("long")
+    have = F.array_intersect(_texts(vocabulary), words)
+    rows = rows.select("doc_id", "th", n_words.alias("n_words"), *[c.alias(k) for k, c in _phrases(n).items()], have.alias("have"), "n")
+    body = F.when(F.arrays_overlap(F.col("have"), _texts(telling)), F.col("n"))
+    rows = materialise(rows.withColumn("body", body).drop("n"), "phrases")
+    held = rows.select(F.explode("have").alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
+    bodies = rows.where("body is not null").groupBy("doc_id", "th").agg(F.first("body").alias("body"))
+    found = matches(bodies, held, templates, threshold, span)
+    by = found.groupBy(F.col("doc_id").alias("d"), F.col("n").alias("no"), F.col("th").alias("t")).agg(F.array_sort(F.collect_list(F.struct("label", "score"))).alias("matches"))
+    by = materialise(by, "licences")
+    out = rows.join(by, (F.coalesce(rows.doc_id, F.lit(-1)) == by.d) & (rows.doc_id.isNull() == by.no) & (rows.th == by.t), "left")
+    out = out.withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<label:string,score:double>>")))
+    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("matches.score")), F.lit(0.0)))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), "matches", F.array_join(F.array_sort(F.array_union("base", F.col("matches.label"))), ",").alias("labels"), score.alias("score"))
 
 
 def op3_license(spark, sf_dir: str) -> DataFrame:

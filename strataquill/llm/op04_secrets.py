@@ -1,7 +1,7 @@
 """Secret scans: base patterns with exact places, and weak credential parts linked within scopes.
 
-A part that is too weak to report alone (a bare key-like token, a login name, an endpoint) is reported only when a
-complementary part stands within SCOPE code points of it in the same text. Linking is an interval join: parts meet
+A part that is too weak to report alone (a bare key-like token; a login name or mail address; an endpoint, which is a URL
+or an IPv4 address) is reported only when a complementary part stands within SCOPE code points of it in the same text. Linking is an interval join: parts meet
 by (row, stretch of SCOPE code points) and a left semi join keeps the weak ones, so no pairs are made.
 """
 
@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataquill.llm.common import materialise, text_hash
+from strataquill.llm.common import let, materialise, text_hash
 
 SCOPE = 200
+#: Matches whose places are added up in one list.
+RUN = 256
 
 # The kinds in their order, and their patterns. Only assign checks a group's length afterwards.
 PATTERNS = {
@@ -20,8 +22,8 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
     "key": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])",
-    "login": r"(?i)\b(?:client_?id|user(?:name)?|login|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}",
-    "endpoint": r"(?i)\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ssh|ftps?)://[^\s\"'<>]+",
+    "login": r"(?i)\b(?:client_?id|user(?:name)?|login|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@-]{3,}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "endpoint": r"(?i)\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|ssh|ftps?)://[^\s\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])",
 }
 KINDS = list(PATTERNS)
 # Which kinds complete a weak one.
@@ -40,7 +42,6 @@ def places(text: Column, kind: str) -> Column:
         parts = F.zip_with(parts, F.regexp_extract_all(text, F.lit(p), F.lit(2)), lambda x, v: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), (F.length(v) >= 6).alias("ok")))
     else:
         parts = F.transform(parts, lambda x: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), F.lit(True).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(s: Column, x: Column) -> Column:
         begin = s["at"] + x["gap"]
@@ -48,7 +49,15 @@ def places(text: Column, kind: str) -> Column:
         spans = F.when(x["len"].isNotNull() & x["ok"], F.concat(s["spans"], F.array(F.struct(begin.alias("start"), no.alias("kind"), end.alias("end"))))).otherwise(s["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
-    return F.when(text.rlike(p), F.aggregate(parts, start, step, lambda s: s["spans"])).otherwise(none)
+    # an aggregate copies its list in every step, so runs of RUN matches are placed apart and moved by what is before them
+    runs = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda g: F.slice(x, g * RUN + 1, F.lit(RUN)))
+    local = F.transform(let(parts, runs), lambda r: F.aggregate(r, F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+
+    def moved(x: Column) -> Column:
+        before = F.aggregate(x, F.array(F.lit(0)), lambda s, r: F.concat(s, F.array(F.element_at(s, -1) + r["at"])))
+        return F.flatten(F.zip_with(x, F.slice(before, 1, F.size(x)), lambda r, by: F.transform(r["spans"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end")))))
+
+    return F.when(text.rlike(p), let(local, moved)).otherwise(none)
 
 
 def _listed(spans: Column) -> Column:
@@ -78,7 +87,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     base = F.concat("assign", "access", "hex")
     rows = rows.select("doc_id", "th", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.array_sort(base).alias("base"), F.concat("key", "login", "endpoint").alias("weak"))
     rows = materialise(rows, "spans")
-    known = linked(rows, scope)
+    known = materialise(linked(rows, scope), "linked")
     on = (F.coalesce(rows.doc_id, F.lit(-1)) == known.d) & (rows.doc_id.isNull() == known.n) & (rows.th == known.th2)
     out = rows.join(known, on, "left")
     spans = F.array_sort(F.concat("base", F.coalesce("confirmed", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))

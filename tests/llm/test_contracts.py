@@ -20,6 +20,8 @@ AWKWARD = [
     "a b c d e f g h " * 5 + "tail of it\nline one\nline one\n\nline one", "<|endoftext|>, don't it's 1234 .,. \u00bb.",
     "first line of a run here\nsecond line of the same run\nthird line of it\nown words", "other start\nfirst line of a run here\nsecond line of the same run\nthird line of it",
     "!!! *** ###", "x" * 3000,
+    "write to ann@mail.example, password: hunter22 at 10.0.0.7:5432, not " + "far " * 60 + "bob@mail.example", "a@b.c alone",
+    " ".join(f"token=abcdef{i:02x} u{i}@x.io" for i in range(700)),
 ]
 
 
@@ -111,8 +113,25 @@ def test_simple8b_round_trip():
     assert (named, lengths.tolist(), ids.tolist()) == ([None, 5], [1, 2], [2, 7, 2])
 
 
+def brute_licences(w):
+    """The best share of each label, over all runs of words that start with one of the template's."""
+    from strataquill.llm.op03_license import SPAN, TEMPLATES, THRESHOLD
+
+    best = {}
+    for label, t, must in TEMPLATES:
+        have, size = set(t.split()), -(-len(t.split()) * 3 // 2)
+        assert SPAN == 1.5
+        for i in range(len(w)):
+            if w[i] in have:
+                block = set(w[i : i + size])
+                share = len(block & have) / len(have)
+                if share >= THRESHOLD - 1e-9 and set(must.split()) <= block:
+                    best[label] = max(best.get(label, 0), share)
+    return best
+
+
 def test_op3(spark, corpus, docs):
-    from strataquill.llm.op03_license import PHRASES, TEMPLATES, THRESHOLD, op3_license
+    from strataquill.llm.op03_license import PHRASES, op3_license
 
     want = Counter()
     for d, x in docs:
@@ -120,33 +139,36 @@ def test_op3(spark, corpus, docs):
         starts = {label: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p, label in PHRASES.items()}
         every = [i for s in starts.values() for i in s]
         base = sorted(label for label, s in starts.items() if s)
-        best = {}
-        for block in x.split("\n"):
-            have = set(words_alnum(block))
-            for label, t in TEMPLATES:
-                share = len(have & set(t.split())) / len(set(t.split()))
-                if share >= THRESHOLD - 1e-9:
-                    best[label] = max(best.get(label, 0), share)
+        best = brute_licences(w)
         score = 1.0 if every else max(best.values(), default=0.0)
         want[(d, len(w), len(every), min(every, default=None), max(every, default=None), ",".join(base), ",".join(sorted({*base, *best})), round(score, 9))] += 1
     out = got(op3_license(spark, corpus), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert Counter({(*k[:-1], round(k[-1], 9)): n for k, n in out.items()}) == want
 
 
-def test_op3_wrapped_notices(spark):
-    from strataquill.llm.op03_license import TEMPLATES, scan_licenses
+def test_op3_notices(spark):
+    """Wrapped notices are found, and sentences with the same common words are not."""
+    from strataquill.llm.op03_license import TEMPLATES, scan_licenses, template_table
 
     texts = []
-    for label, t in TEMPLATES:
+    for label, t, _ in TEMPLATES:
         words = t.split()
         for width in (1, 2, 3, 5, 8):
             lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
             texts.append((label, "code();\n# " + "\n# ".join(lines) + ", and so on\nmore"))
-    texts.append(("", "permission is given\n" + "hereby some other words stand between\n" * 5 + "granted free of charge\n" * 2 + "to any person"))
-    out = scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
-    for r in out:
-        label = texts[r.doc_id][0]
-        assert label in r.labels.split(",") and (r.score == 1.0 if label else r.score == 0.0), r
+    texts += [("", x) for x in ("This was released under the GPL license by us.", "The book, released under a pen name, explains the law; the author lost his licence and a license.", "licensed under the license version 2.0", "permission is given\n" + "hereby some other words stand between\n" * 5 + "granted free of charge\n" * 2 + "to any person")]
+    texts += [("apache", "Licensed under the terms of the Apache License, Version 2.0"), ("apache,mit", "Released under the MIT license. " + "word " * 30 + "licensed under the apache license version 2 0")]
+    rng = np.random.default_rng(5)
+    pool = sorted({w for _, t, _ in TEMPLATES for w in t.split()}) + ["x", "y"]
+    random = [" ".join(pool[k] for k in rng.integers(0, len(pool), 60)) for _ in range(20)]
+    random += [" ".join(rng.permutation(t.split() + ["z"] * 3)) for _, t, _ in TEMPLATES for _ in range(4)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t in texts] + random)], "doc_id long, text string")
+    out = {r.doc_id: r for r in scan_licenses(df, template_table(spark)).collect()}
+    for i, (label, x) in enumerate(texts):
+        assert set(label.split(",")) - {""} <= set(out[i].labels.split(",")), x
+        assert label or (not out[i].labels and out[i].score == 0.0), x
+    for i, x in enumerate([t for _, t in texts] + random):
+        assert {m.label: round(m.score, 9) for m in out[i].matches} == {k: round(v, 9) for k, v in brute_licences(words_alnum(x)).items()}, x
 
 
 def test_op4(spark, corpus, docs):
@@ -165,7 +187,7 @@ def test_op4(spark, corpus, docs):
         want[(d, n[0], n[1], n[2], hashlib.sha256(show(spans).encode()).hexdigest(), show(spans + ok))] += 1
     out = got(op4_secrets(spark, corpus), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     assert out == want
-    assert any("key:" in k[-1] for k in want) and any(k[1] > 1 for k in want)
+    assert all(any(f"{kind}:" in k[-1] for k in want) for kind in KINDS[3:]) and any(k[1] > 300 for k in want)
 
 
 def brute_hits(items, words, window=10):
