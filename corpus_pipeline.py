@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataquill.llm.common import new_path
+from strataquill.llm.common import discard, materialise, scratch
 from strataquill.llm.op02_tokens import encode_corpus
 from strataquill.llm.op05_mix import mix_documents
 from strataquill.llm.op06_decontaminate import decontaminate
@@ -41,16 +41,19 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mixture", mixture), ("tokens", tokens)]
 
-#: SQL can express neither fingerprints nor the token file; tests hold every stage against brute force instead.
+#: SQL can express neither shingle sets nor the token file; a test holds the whole run against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage's result is written to the shared folder and read again, so a lost executor costs one stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every stage's result is written to the shared folder and read again, so a lost executor costs one stage. What a
+    stage wrote in between and the result before it are deleted; the last result and the token file stay."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = new_path(spark, name)
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        with scratch(spark) as keep:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            keep(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
