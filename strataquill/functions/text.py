@@ -10,9 +10,12 @@ TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 PUNCT_FROM = "‑‒–—−－‘’“” "
 PUNCT_TO = "------''\"\" "
 # Lines that are only a page number, bullets, and the starts of a block.
-PAGE_NUMBER = r"(?i)^(page\s+)?\d+(\s+of\s+\d+)?$"
-BULLET = "^[•▪◦·]\\s*"
-BLOCK_START = r"^\d+(\.\d+)+\b|^-\s|^[A-Z][A-Za-z ,'&/()-]{2,60}$"
+PAGE_NUMBER = r"(?iU)^(page\s+)?\d+(\s+of\s+\d+)?$"
+BULLET = "(?U)^[•▪◦·]\\s*"
+BLOCK_START = r"(?U)^\d+(\.\d+)+\b|^-\s|^[A-Z][A-Za-z ,'&/()-]{2,60}$"
+# White space that is stripped, and what ends a line.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 # A refusal's words, and the marks of errors that pass and that don't.
 REFUSAL = "the provided guideline extracts do not state this."
 LASTING = "400|404|INVALID_ARGUMENT|NOT_FOUND|PERMISSION_DENIED"
@@ -36,9 +39,19 @@ def normalise(c: Column) -> Column:
     return F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space (of any kind) at the ends."""
+    return F.btrim(c, F.lit(SPACES))
+
+
+def lines(c: Column) -> Column:
+    """The lines of a text, whatever ends them; a line end at the very end opens no further line."""
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, f"(?:{LINE_END})\\z", ""), LINE_END, -1))
+
+
 def squeeze(c: Column) -> Column:
-    """Runs of (Unicode) white space to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """Runs of white space to one blank, none at the ends."""
+    return F.trim(F.regexp_replace(c, f"[{SPACES}]+", " "))
 
 
 def strip_blocks(c: Column, patterns: list[tuple[str, str]]) -> Column:
@@ -57,8 +70,14 @@ def join_hyphens(c: Column) -> Column:
 
 
 def dated(c: Column, label: str) -> Column:
-    """The date text after a label such as 'Published:', or null."""
-    return F.nullif(F.regexp_extract(c, label + r"\s*(\d{1,2} [A-Z][a-z]+ \d{4})", 1), F.lit(""))
+    """The date after a label such as 'Published:', in any case, or null."""
+    return F.nullif(F.regexp_extract(c, rf"(?iU)\Q{label}\E\s*([0-9]{{1,2}}\s+\w+\s+[0-9]{{4}})", 1), F.lit(""))
+
+
+def page_footers(lines_before: str, rights: str) -> list[tuple[str, str]]:
+    """Patterns for strip_blocks: a footer from a line that matches lines_before and one that starts with `rights` to its
+    'Page n of m'; what is left of the second; and page numbers alone. What they say is the publisher's."""
+    return [(rf"(?is){lines_before}\s*\n{rights}.*?Page\s+\d+\s+of\s*\n?\s*\d+", "\n"), (rf"(?i){rights}[^\n]*", ""), (r"(?i)\bPage\s+\d+\s+of\s*\n?\s*\d+", "")]
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -68,11 +87,12 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def locate_span(text: Column, passage: Column) -> Column:
     """struct(start, end) of the passage's leftmost place; failing that, of its words across any white space; else null."""
     words = F.split(squeeze(passage), " ")
-    loose = F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s+")
+    plain = F.transform(words, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}])", r"\\$1"))
+    loose = F.array_join(plain, f"[{SPACES}]+")
     exact = F.position(passage, text)
     at = F.when(exact > 0, exact).otherwise(F.regexp_instr(text, loose))
     size = F.when(exact > 0, F.length(passage)).otherwise(F.length(F.regexp_substr(text, loose)))
-    return F.when((at > 0) & (F.length(F.trim(passage)) > 0), F.struct((at - 1).alias("start"), (at - 1 + size).alias("end")))
+    return F.when((at > 0) & (F.length(strip(passage)) > 0), F.struct((at - 1).alias("start"), (at - 1 + size).alias("end")))
 
 
 def cache_key(*parts: Column, size: int = 20) -> Column:
@@ -90,3 +110,18 @@ def is_refusal(answer: Column) -> Column:
 def is_transient(message: Column) -> Column:
     """Marks that forbid a retry win over those that allow it."""
     return F.when(message.rlike(LASTING), False).otherwise(F.coalesce(message.rlike(PASSING), F.lit(False)))
+
+
+def grounded_prompt(context: Column, question: Column) -> Column:
+    """What a model is asked with extracts; wording is a caller's choice, this is the default."""
+    return F.format_string("Numbered extracts:\n\n%s\n\nQuestion: %s\nUse the extracts alone and name their numbers.", context, question)
+
+
+def bare_prompt(question: Column) -> Column:
+    """What a model is asked without any."""
+    return F.format_string("Question: %s\nAnswer in short.", question)
+
+
+def utc_stamp(t: Column) -> Column:
+    """ISO 8601 to the second, for a session in UTC."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

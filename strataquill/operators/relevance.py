@@ -6,24 +6,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataquill.functions.text import overlap
+from strataquill.functions.text import overlap, strip, tokens
+from strataquill.operators.search import TextIndex, postings
+from strataquill.sources.shared import written
 
 
-def locate_gold(items: DataFrame, docs: DataFrame, probe: int = 24, direct: int = 10_000) -> DataFrame:
+def locate_gold(items: DataFrame, docs: DataFrame, index: TextIndex | None = None, probe: int = 24) -> DataFrame:
     """(question_id, gold_idx, doc_id, start, end): the leftmost place of each item's text in each document.
 
-    Up to `direct` items are checked against each document where it lies; more meet documents by equality on their
-    first `probe` characters at every position, so neither side is copied to all tasks."""
-    asked = items.select("question_id", F.col("text").alias("item")).where("item <> ''")
-    if asked.count() <= direct:
-        pairs = docs.select("doc_id", "text").join(F.broadcast(asked), F.col("text").contains(F.col("item")))
+    A document that holds an item holds all its words but for the first and last, which may go on. So items meet
+    documents by equality on the rarest of these words, with the postings of a kept index over docs or of one pass over
+    them, and what meets is verified. Items of fewer than three words meet them on their first characters instead."""
+    asked = items.select("question_id", F.col("text").alias("item"), tokens(F.col("text")).alias("t")).where("item <> ''")
+    inner = asked.where(F.size("t") > 2).select("question_id", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
+    if index is None:
+        post = written(postings(docs.select("doc_id", "text"), "doc_id", inner).select("doc_id", "term"), "anchors")
+        counts = post.groupBy("term").agg(F.count("*").alias("n"))
     else:
-        starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - probe + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(probe)))
+        post, counts = index.postings(inner).select(F.col(index.key).alias("doc_id"), "term"), index.frequencies(inner)
+    rarest = inner.join(counts, "term").groupBy("question_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
+    found = rarest.join(post, "term").select("question_id", "doc_id")
+    short = asked.where(F.size("t") <= 2)
+    least = short.agg(F.min(F.length("item"))).first()[0]
+    if least is not None:
+        size = min(probe, least)
+        starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(size)))
         grams = docs.select("doc_id", F.explode(F.array_distinct(starts)).alias("gram"))
-        found = grams.join(asked.select("question_id", F.substring("item", 1, probe).alias("gram")), "gram").select("question_id", "doc_id")
-        pairs = found.join(asked, "question_id").join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item")))
-    at = (F.position("item", "text") - 1).alias("start")
-    spans = pairs.select("question_id", "doc_id", at, (F.position("item", "text") - 1 + F.length("item")).alias("end"))
+        found = found.union(grams.join(short.select("question_id", F.substring("item", 1, size).alias("gram")), "gram").select("question_id", "doc_id"))
+    pairs = found.join(asked.select("question_id", "item"), "question_id").join(docs.select("doc_id", "text"), "doc_id")
+    at = F.position("item", "text") - 1
+    spans = pairs.select("question_id", "doc_id", at.alias("start"), (at + F.length("item")).alias("end")).where("start >= 0")
     return spans.withColumn("gold_idx", F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id")) - 1)
 
 
@@ -93,14 +105,35 @@ def nearest_gap(questions: DataFrame, hits: DataFrame, gold: DataFrame) -> DataF
 
 def prompt_context(hits: DataFrame) -> DataFrame:
     """(question_id, context, n_contexts, context_chars) from hits (question_id, rank, doc_id, chunk_id, text)."""
-    block = F.format_string("[%d] (source: %s, chunk %s)\n%s", F.col("rank"), F.col("doc_id").cast("string"), F.col("chunk_id").cast("string"), F.trim("text"))
+    block = F.format_string("[%d] (source: %s, chunk %s)\n%s", F.col("rank"), F.col("doc_id").cast("string"), F.col("chunk_id").cast("string"), strip(F.col("text")))
     got = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("x"), F.sum(F.length("text")).alias("context_chars"), F.count("*").alias("n_contexts"))
     return got.select("question_id", F.array_join("x.b", "\n\n").alias("context"), "n_contexts", "context_chars")
 
 
+def relevant_distribution(counts: DataFrame, value: str = "n_relevant") -> DataFrame:
+    """(least, mean, most, n_zero) of the relevant chunks a question has."""
+    return counts.agg(F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.count_if(F.col(value) == 0).alias("n_zero"))
+
+
 def paraphrase_rollup(results: DataFrame) -> DataFrame:
     """results (question_id, label, recall, doc_hit, gap) -> (label, mean_recall, doc_hit_rate, median_gap, mean_delta)
-    with deltas against the label 'original' of the same question."""
+    with deltas against the label 'original' of the same question; one row for every label of any question."""
     base = results.where("label = 'original'").select("question_id", F.col("recall").alias("base"))
     both = results.join(base, "question_id", "left")
     return both.groupBy("label").agg(F.bround(F.avg("recall"), 3).alias("mean_recall"), F.bround(F.avg(F.col("doc_hit").cast("int")), 3).alias("doc_hit_rate"), F.median("gap").alias("median_gap"), F.bround(F.avg(F.col("recall") - F.col("base")), 3).alias("mean_delta"))
+
+
+def paraphrase_deltas(results: DataFrame) -> DataFrame:
+    """(question_id, delta, verdict): how far the mean recall of a question's paraphrases lies from the original's."""
+    other = F.col("label") != "original"
+    by = results.groupBy("question_id").agg((F.avg(F.when(other, F.col("recall"))) - F.max(F.when(~other, F.col("recall")))).alias("delta"))
+    return by.withColumn("verdict", drop_verdict(F.col("delta")))
+
+
+def drop_verdict(delta: Column) -> Column:
+    return F.when(delta < -0.15, "fragile").when(delta < -0.05, "moderate").otherwise("robust")
+
+
+def worst(deltas: DataFrame, n: int = 5) -> DataFrame:
+    """The n questions that lose most."""
+    return deltas.orderBy("delta", "question_id").limit(n)

@@ -14,7 +14,7 @@ from strataquill.functions import text as T
 def furniture(pages: DataFrame, threshold: float = 0.5, max_len: int = 120) -> DataFrame:
     """(doc_id, line, n_pages) of lines that repeat over pages (doc_id, page_no, text): short stripped lines, counted
     once a page, on at least max(2, threshold of the pages)."""
-    lines = pages.select("doc_id", "page_no", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
+    lines = pages.select("doc_id", "page_no", F.explode(T.lines(F.col("text"))).alias("line")).withColumn("line", T.strip(F.col("line")))
     counts = lines.where((F.col("line") != "") & (F.length("line") <= max_len)).distinct().groupBy("doc_id", "line").agg(F.count("*").alias("n_pages"))
     sizes = pages.groupBy("doc_id").agg(F.floor(F.count("*") * threshold).alias("half"))
     return counts.join(sizes, "doc_id").where(F.col("n_pages") >= F.greatest(F.lit(2), "half")).select("doc_id", "line", "n_pages")
@@ -22,7 +22,7 @@ def furniture(pages: DataFrame, threshold: float = 0.5, max_len: int = 120) -> D
 
 def clean_lines(pages: DataFrame, furn: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_no, line) without furniture and page numbers; bullets become '- '; blank lines stay."""
-    lines = pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
+    lines = pages.select("doc_id", "page_no", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line")).withColumn("line", T.strip(F.col("line")))
     kept = lines.where(~F.col("line").rlike(T.PAGE_NUMBER)).join(furn.select("doc_id", "line"), ["doc_id", "line"], "left_anti")
     return kept.select("doc_id", "page_no", "line_no", F.regexp_replace("line", T.BULLET, "- ").alias("line"))
 
@@ -30,7 +30,7 @@ def clean_lines(pages: DataFrame, furn: DataFrame) -> DataFrame:
 def reflow(docs: DataFrame) -> DataFrame:
     """(doc_id, block_no, text): lines joined into blocks. A line opens a block after a blank line, at the start, or
     if it looks like one (a running sum of openings numbers the blocks)."""
-    lines = docs.select("doc_id", F.posexplode(F.split(T.join_hyphens(F.col("text")), "\n")).alias("n", "line")).withColumn("line", F.trim("line"))
+    lines = docs.select("doc_id", F.posexplode(F.split(T.join_hyphens(F.col("text")), "\n")).alias("n", "line")).withColumn("line", T.strip(F.col("line")))
     w = Window.partitionBy("doc_id").orderBy("n")
     opens = F.coalesce(F.lag("line").over(w) == "", F.lit(True)) | F.col("line").rlike(T.BLOCK_START)
     marked = lines.withColumn("open", (opens & (F.col("line") != "")).cast("int")).withColumn("block_no", F.sum("open").over(w))
@@ -199,3 +199,9 @@ def check_offsets(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     inside = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("source_text"))
     same = F.expr("substring(source_text, int(start) + 1, int(end - start))") == F.col("text")
     return chunks.join(d, "doc_id", "left").withColumn("exact", F.coalesce(inside & same, F.lit(False))).drop("source_text")
+
+
+def length_stats(chunks: DataFrame, by: str) -> DataFrame:
+    """(by, n, shortest, median, mean, longest) of the chunks' lengths; the median of an even number is between two."""
+    size = F.col("end") - F.col("start")
+    return chunks.groupBy(by).agg(F.count("*").alias("n"), F.min(size).alias("shortest"), F.percentile(size, F.lit(0.5)).alias("median"), F.avg(size).alias("mean"), F.max(size).alias("longest"))

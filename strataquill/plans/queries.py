@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from strataquill.functions import text as T
 from strataquill.functions.vectors import dot
 from strataquill.operators import quality, relevance, search, segment, stats
-from strataquill.plans import pipelines
+from strataquill.plans import conditions, evaluation, pipelines
+from strataquill.plans.indexes import text_index
+from strataquill.sources import tables
 
 QUERIES, ORACLES = {}, {}
 TOK = r"regexp_extract_all(lower(text), '[a-z0-9]+(?:[.\-][a-z0-9]+)*')"
@@ -35,6 +37,11 @@ def _documents(spark, sf):
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
+def _index(spark, sf):
+    """The kept lexical index of the documents."""
+    return text_index(spark, f"{sf}/documents.parquet", "documents", "doc_id", lambda: _documents(spark, sf))
+
+
 def _questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 
@@ -51,6 +58,7 @@ def _chunks(spark, sf):
     return starts.select((F.col("doc_id") * 100_000 + F.col("n")).alias("chunk_no"), "doc_id", "start", F.least(F.col("start") + 400, F.length("text")).alias("end"), F.substring("text", F.col("start") + 1, F.lit(400)).alias("text"))
 
 
+SPACES = " || ".join(f"chr({ord(c)})" for c in T.SPACES)
 CHUNKS = "chunks AS (SELECT doc_id * 100000 + start // 300 AS chunk_no, doc_id, start, least(start + 400, length(text)) AS \"end\", substr(text, start::BIGINT + 1, 400) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 300)) AS start FROM documents))"
 DEGRADED = "questions AS (SELECT item_id AS question_id, array_to_string(list_filter(string_split(text, ' '), lambda w, i: (i - 1) % 3 = 0), ' ') AS text FROM benchmark)"
 ASKED = "questions AS (SELECT item_id AS question_id, text FROM benchmark)"
@@ -80,7 +88,7 @@ def tokenize_counts(spark, sf):
 
 @query(f"WITH {ASKED}, {bm25_sql('documents', 'doc_id', 5)} SELECT * FROM hits")
 def bm25_top5(spark, sf):
-    return search.bm25(_documents(spark, sf), _questions(spark, sf), 5)
+    return _index(spark, sf).bm25(_questions(spark, sf), 5)
 
 
 @query("""WITH q AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 25 = 0),
@@ -98,25 +106,32 @@ o30 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORD
 f AS (SELECT coalesce(h.question_id, o.question_id) AS question_id, coalesce(h.doc_id, o.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + h.rank), 0) + coalesce(1.0::DOUBLE / (60 + o.rank), 0), 9) AS score, h.rank AS sparse_rank, o.rank AS overlap_rank FROM hits h FULL JOIN o30 o ON h.question_id = o.question_id AND h.doc_id = o.doc_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 5""")
 def rrf_hybrid_top5(spark, sf):
-    docs, asked = _documents(spark, sf), _degraded(spark, sf)
-    sparse = search.bm25(docs, asked, 30)
+    index, asked = _index(spark, sf), _degraded(spark, sf)
+    sparse = index.bm25(asked, 30)
     terms = asked.select("question_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    shared = terms.join(search.postings(docs, "doc_id", terms), "term").groupBy("question_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    shared = terms.join(index.postings(terms), "term").groupBy("question_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
     return search.fuse({"sparse": sparse, "overlap": search.top(shared, 30, "doc_id")}, 5, "doc_id")
 
 
 @query(f"WITH {GOLD} SELECT * FROM gold")
 def gold_span_locate(spark, sf):
-    return relevance.locate_gold(_questions(spark, sf), table(spark, sf, "documents")).select("question_id", "gold_idx", "doc_id", "start", "end")
+    return _gold(spark, sf).select("question_id", "gold_idx", "doc_id", "start", "end")
+
 
+def _chunk_index(spark, sf):
+    return text_index(spark, f"{sf}/documents.parquet", "chunks", "chunk_no", lambda: _chunks(spark, sf).select("chunk_no", "text"))
 
-def _hits(spark, sf, k=10):
-    chunks = _chunks(spark, sf)
-    return search.bm25(chunks, _degraded(spark, sf), k, "chunk_no").join(chunks.drop("text"), "chunk_no").cache()  # k rows a question, read several times
+
+def _hits(spark, sf, k=10, asked=None):
+    """k rows a question, read several times: chunk_no, doc_id, start, end, score, rank."""
+    found = _chunk_index(spark, sf).bm25(_degraded(spark, sf) if asked is None else asked, k)
+    found = found.withColumn("doc_id", F.expr("chunk_no div 100000")).withColumn("start", (F.col("chunk_no") % 100_000 * 300).cast("int"))
+    sizes = table(spark, sf, "documents").select("doc_id", F.length("text").alias("size"))
+    return tables.written(found.join(sizes, "doc_id").withColumn("end", F.least(F.col("start") + 400, "size")).drop("size"), "hits")
 
 
 def _gold(spark, sf):
-    return relevance.locate_gold(_questions(spark, sf), _documents(spark, sf)).cache()  # spans only, read several times
+    return tables.written(relevance.locate_gold(_questions(spark, sf), table(spark, sf, "documents"), _index(spark, sf)), "gold")
 
 
 SPINE = f"{DEGRADED}, {CHUNKS}, {bm25_sql('chunks', 'chunk_no', 10, 'top')}, hits AS (SELECT t.*, c.doc_id, c.start, c.\"end\" FROM top t JOIN chunks c USING (chunk_no)), {GOLD}"
@@ -167,7 +182,7 @@ def nearest_gap(spark, sf):
     return relevance.nearest_gap(_degraded(spark, sf), _hits(spark, sf), _gold(spark, sf))
 
 
-@query(f"""WITH {SPINE} SELECT question_id, string_agg('[' || h.rank || '] (source: ' || h.doc_id || ', chunk ' || chunk_no || ')' || chr(10) || trim(c.text), chr(10) || chr(10) ORDER BY h.rank) AS context, count(*) AS n_contexts, sum(length(c.text))::BIGINT AS context_chars FROM hits h JOIN chunks c USING (chunk_no) GROUP BY 1""")
+@query(f"""WITH {SPINE} SELECT question_id, string_agg('[' || h.rank || '] (source: ' || h.doc_id || ', chunk ' || chunk_no || ')' || chr(10) || trim(c.text, {SPACES}), chr(10) || chr(10) ORDER BY h.rank) AS context, count(*) AS n_contexts, sum(length(c.text))::BIGINT AS context_chars FROM hits h JOIN chunks c USING (chunk_no) GROUP BY 1""")
 def prompt_context(spark, sf):
     hits = _hits(spark, sf).withColumnRenamed("chunk_no", "chunk_id").join(_chunks(spark, sf).select(F.col("chunk_no").alias("chunk_id"), "text"), "chunk_id")
     return relevance.prompt_context(hits)
@@ -181,11 +196,15 @@ def punct_normalise(spark, sf):
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
+    """The documents as pages of their sources, with a page number, a bullet and odd white space put into them."""
+    text = F.concat(F.lit("\tPage "), F.col("doc_id") % 7, F.lit(" of 9\xa0\n• note "), F.col("doc_id"), F.lit("\r\n"), F.replace("text", F.lit("\n"), F.lit(" \t\r\n\xa0")))
+    return table(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), text.alias("text"))
 
 
-LINES = "ln AS (SELECT source AS doc_id, doc_id AS page_no, unnest(range(len(string_split(text, chr(10))))) AS line_no, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents)"
-FURN = f"{LINES}, fu AS (SELECT doc_id, line, count(*) AS n_pages FROM (SELECT DISTINCT doc_id, page_no, line FROM ln WHERE line <> '' AND length(line) <= 120) GROUP BY ALL HAVING count(*) >= greatest(2, (SELECT floor(count(*) * 0.02) FROM documents d WHERE d.source = doc_id)))"
+ENDS = r"'\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'"
+PAGES = r"pages AS (SELECT source, doc_id, chr(9) || 'Page ' || (doc_id % 7) || ' of 9' || chr(160) || chr(10) || '• note ' || doc_id || chr(13) || chr(10) || replace(text, chr(10), ' ' || chr(9) || chr(13) || chr(10) || chr(160)) AS text FROM documents)"
+SPLIT = rf"SELECT source, doc_id, string_split_regex(regexp_replace(text, '(?:\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}])$', ''), {ENDS}) AS x FROM pages"
+LINES = f"{PAGES}, ln AS (SELECT source AS doc_id, doc_id AS page_no, unnest(range(len(x))) AS line_no, trim(unnest(x), {SPACES}) AS line FROM ({SPLIT}))"
 
 
 @query(f"WITH {LINES}, c AS (SELECT doc_id, line, count(*) AS n_pages FROM (SELECT DISTINCT doc_id, page_no, line FROM ln WHERE line <> '' AND length(line) <= 120) GROUP BY ALL), s AS (SELECT source AS doc_id, floor(count(*) * 0.02) AS half FROM documents GROUP BY 1) SELECT doc_id, line, n_pages FROM c JOIN s USING (doc_id) WHERE n_pages >= greatest(2, half)")
@@ -199,12 +218,14 @@ def clean_lines(spark, sf):
     return segment.clean_lines(p, segment.furniture(p, 0.02))
 
 
-@query(r"""WITH ln AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents),
+@query(r"""WITH o AS (SELECT doc_id, regexp_replace(replace(replace(replace(text, chr(10), chr(9) || chr(10) || chr(160)), '. ', '.' || chr(10) || chr(12) || chr(10)), 'tion ', 'ti-' || chr(10) || 'on '), '(\w)-\n(\w)', '\1\2', 'g') AS text FROM documents), ln AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, trim(unnest(string_split(text, chr(10))), """ + SPACES + r""") AS line FROM o),
 f AS (SELECT *, line <> '' AND (coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY n) = '', true) OR regexp_matches(line, '^\d+(\.\d+)+\b|^-\s|^[A-Z][A-Za-z ,''&/()-]{2,60}$')) AS o FROM ln),
 g AS (SELECT *, sum(o::INT) OVER (PARTITION BY doc_id ORDER BY n) AS block_no FROM f)
 SELECT doc_id, block_no::BIGINT AS block_no, regexp_replace(string_agg(line, ' ' ORDER BY n), '[ \t]{2,}', ' ', 'g') AS text FROM g WHERE line <> '' GROUP BY ALL""")
 def reflow_blocks(spark, sf):
-    return segment.reflow(table(spark, sf, "documents"))
+    """Broken words, blank lines and odd white space are put into the texts first."""
+    x = F.replace(F.replace(F.replace("text", F.lit("\n"), F.lit("\t\n\xa0")), F.lit(". "), F.lit(".\n\f\n")), F.lit("tion "), F.lit("ti-\non "))
+    return segment.reflow(table(spark, sf, "documents").select("doc_id", x.alias("text")))
 
 
 SENT = r"""pa AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS p, unnest(string_split(text, chr(10) || chr(10))) AS para FROM documents),
@@ -378,15 +399,15 @@ def _rows(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     kind = F.when(F.col("doc_id") % 7 == 0, "other").when(F.col("doc_id") % 3 == 0, "multi_step").otherwise("factual")
     passage = F.substring("text", F.lit(1), F.when(F.col("doc_id") % 5 == 0, 20).otherwise(60))
-    return d.select(F.col("doc_id").alias("question_id"), F.concat(F.substring("text", 1, 12), F.when(F.col("quality") == 1, " is what?").otherwise("")).alias("question"), kind.alias("question_type"), F.when(F.col("toxic") == 1, "").otherwise(F.substring("text", 1, 30)).alias("reference_answer"), F.array(F.struct((F.col("doc_id") + F.col("toxic")).alias("doc_id"), passage.alias("passage"))).alias("gold_passages"), (F.col("quality") == 1).alias("verified"))
+    return d.select(F.col("doc_id").alias("question_id"), F.concat(F.lit("\t"), F.substring("text", 1, 12), F.when(F.col("quality") == 1, " is what?").otherwise("")).alias("question"), kind.alias("question_type"), F.when(F.col("toxic") == 1, "").otherwise(F.concat(F.substring("text", 1, 30), F.lit("\xa0"))).alias("reference_answer"), F.array(F.struct((F.col("doc_id") + F.col("toxic")).alias("doc_id"), passage.alias("passage"))).alias("gold_passages"), (F.col("quality") == 1).alias("verified"))
 
 
-@query("""WITH r AS (SELECT doc_id AS q, substr(text, 1, 12) || CASE WHEN quality = 1 THEN ' is what?' ELSE '' END AS question, CASE WHEN doc_id % 7 = 0 THEN 'other' WHEN doc_id % 3 = 0 THEN 'multi_step' ELSE 'factual' END AS kind, CASE WHEN toxic = 1 THEN '' ELSE substr(text, 1, 30) END AS answer, quality = 1 AS verified, trim(substr(text, 1, CASE WHEN doc_id % 5 = 0 THEN 20 ELSE 60 END), ' ') AS passage FROM documents JOIN labels USING (doc_id)), ok AS (SELECT * FROM r WHERE answer <> '')
+@query(f"""WITH r AS (SELECT doc_id AS q, chr(9) || substr(text, 1, 12) || CASE WHEN quality = 1 THEN ' is what?' ELSE '' END AS question, CASE WHEN doc_id % 7 = 0 THEN 'other' WHEN doc_id % 3 = 0 THEN 'multi_step' ELSE 'factual' END AS kind, CASE WHEN toxic = 1 THEN '' ELSE substr(text, 1, 30) || chr(160) END AS answer, quality = 1 AS verified, trim(substr(text, 1, CASE WHEN doc_id % 5 = 0 THEN 20 ELSE 60 END), {SPACES}) AS passage FROM documents JOIN labels USING (doc_id)), ok AS (SELECT * FROM r WHERE answer <> '')
 SELECT q AS question_id, 'error' AS severity, 'missing required field ''reference_answer''' AS message FROM r WHERE answer = ''
 UNION ALL SELECT q, 'error', 'unknown question_type' FROM ok WHERE kind = 'other'
-UNION ALL SELECT q, 'warning', 'question is very short' FROM ok WHERE length(trim(question, ' ')) < 15
-UNION ALL SELECT q, 'warning', 'question does not end with ''?''' FROM ok WHERE NOT ends_with(trim(question, ' '), '?')
-UNION ALL SELECT q, 'error', 'reference_answer is too short' FROM ok WHERE length(trim(answer, ' ')) < 10
+UNION ALL SELECT q, 'warning', 'question is very short' FROM ok WHERE length(trim(question, {SPACES})) < 15
+UNION ALL SELECT q, 'warning', 'question does not end with ''?''' FROM ok WHERE NOT ends_with(trim(question, {SPACES}), '?')
+UNION ALL SELECT q, 'error', 'reference_answer is too short' FROM ok WHERE length(trim(answer, {SPACES})) < 10
 UNION ALL SELECT q, 'error', 'multi_step needs two gold passages' FROM ok WHERE kind = 'multi_step'
 UNION ALL SELECT q, 'warning', 'not yet verified' FROM ok WHERE NOT verified
 UNION ALL SELECT q, 'error', 'gold_passages[0]: passage is too short' FROM ok WHERE length(passage) < 40""")
@@ -423,9 +444,17 @@ def transcripts(spark, sf):
     return out.select("conv_id", F.array_join("x.t", "\n").alias("transcript"), "n", "chars")
 
 
-@query("""SELECT event_id, coalesce(regexp_matches(props, '400|404|INVALID_ARGUMENT|NOT_FOUND|PERMISSION_DENIED') = false AND regexp_matches(props, '429|500|502|503|504|RESOURCE_EXHAUSTED|UNAVAILABLE|DEADLINE_EXCEEDED|timeout|Timeout'), false) AS transient, contains(lower(props), 'the provided guideline extracts do not state this.') AS refusal FROM events""")
+ERRORS = ["429 Too Many Requests", "503 UNAVAILABLE", "400 INVALID_ARGUMENT after 500", "404 NOT_FOUND", "read timeout", "PERMISSION_DENIED", "no mark at all", "DEADLINE_EXCEEDED"]
+SAYING = ", ".join(f"'{e}'" for e in ERRORS)
+
+
+@query(f"""SELECT doc_id, coalesce(NOT regexp_matches(message, '400|404|INVALID_ARGUMENT|NOT_FOUND|PERMISSION_DENIED') AND regexp_matches(message, '429|500|502|503|504|RESOURCE_EXHAUSTED|UNAVAILABLE|DEADLINE_EXCEEDED|timeout|Timeout'), false) AS transient, contains(lower(answer), 'the provided guideline extracts do not state this.') AS refusal
+FROM (SELECT doc_id, ([{SAYING}])[(doc_id % 8)::INT + 1] || ': ' || substr(regexp_replace(text, '[0-9]', '', 'g'), 1, 20) AS message, CASE WHEN doc_id % 5 = 0 THEN 'So: THE provided guideline extracts do not state this. ' ELSE '' END || substr(text, 1, 40) AS answer FROM documents)""")
 def error_classes(spark, sf):
-    return table(spark, sf, "events").select("event_id", T.is_transient(F.col("props")).alias("transient"), T.is_refusal(F.col("props")).alias("refusal"))
+    """Errors and refusals are put before the texts."""
+    message = F.concat(F.element_at(F.array(*[F.lit(e) for e in ERRORS]), (F.col("doc_id") % 8 + 1).cast("int")), F.lit(": "), F.substring(F.regexp_replace("text", "[0-9]", ""), 1, 20))
+    answer = F.concat(F.when(F.col("doc_id") % 5 == 0, "So: THE provided guideline extracts do not state this. ").otherwise(""), F.substring("text", 1, 40))
+    return table(spark, sf, "documents").select("doc_id", T.is_transient(message).alias("transient"), T.is_refusal(answer).alias("refusal"))
 
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.25::DOUBLE), 6) AS q1, round(quantile_cont(value, 0.5::DOUBLE), 6) AS q2, round(quantile_cont(value, 0.75::DOUBLE), 6) AS q3, min(value) AS low, max(value) AS high, count(*) AS n FROM events GROUP BY 1""")
@@ -456,5 +485,237 @@ def depth_verdict(spark, sf):
     asked, gold, hits = _degraded(spark, sf).select("question_id"), _gold(spark, sf), _hits(spark, sf)
     five = relevance.question_metrics(asked, hits, gold, 5, 40).select("question_id", F.col("recall").alias("recall_at_5"))
     one = relevance.question_metrics(asked, hits, gold, 1, 40).select("question_id", F.col("recall").alias("recall_at_1"))
-    d = F.col("recall_at_1") - F.col("recall_at_5")
-    return five.join(one, "question_id").withColumn("verdict", F.when(d < -0.15, "fragile").when(d < -0.05, "moderate").otherwise("robust"))
+    return five.join(one, "question_id").withColumn("verdict", relevance.drop_verdict(F.col("recall_at_1") - F.col("recall_at_5")))
+
+
+@query("""SELECT * FROM (VALUES ('fixed_dense_k5', 'a-b__fixed_1000_150', 5), ('fixed_hybrid_k5', 'a-b__fixed_1000_150', 5), ('semantic_dense_k5', 'a-b__semantic_p90_b1_m2000', 5), ('semantic_hybrid_k5', 'a-b__semantic_p90_b1_m2000', 5), ('baseline_noretrieval', 'a-b__none', 0)) v(condition, index_name, k)""")
+def condition_grid(spark, sf):
+    return conditions.conditions(spark, docs=("b", "a"), percentile=90.0).select("condition", "index_name", "k")
+
+
+@query("SELECT * FROM (VALUES ('semantic_dense_k3', 3), ('semantic_dense_k5', 5), ('semantic_dense_k10', 10)) v(condition, k)")
+def depth_sweep(spark, sf):
+    return conditions.depths(conditions.conditions(spark), "semantic_dense_k5").select("condition", "k")
+
+
+@query("SELECT source, count(*) AS n, (count(*) * 4 * 3500)::BIGINT AS total_tokens, round_even(count(*) * 4 * 3500 / 1e6::DOUBLE * 0.3::DOUBLE, 2)::DOUBLE AS cost_usd, round_even(count(*) * 4 * 3500 / 200000.0::DOUBLE, 1)::DOUBLE AS days FROM documents GROUP BY source")
+def judge_budgets(spark, sf):
+    n = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    b = conditions.judge_budget(F.col("n"), F.lit(4), F.lit(3500), 0.3)
+    return n.withColumn("b", b).select("source", "n", "b.*")
+
+
+PARTS = "pt AS (SELECT doc_id, n_chars, lang, start, least(start + 400, length(text)) AS \"end\" FROM (SELECT *, unnest(range(0, greatest(length(text), 1), 300)) AS start FROM documents))"
+
+
+@query(f"WITH {PARTS} SELECT lang, count(*) AS n, min(\"end\" - start)::INT AS shortest, quantile_cont(\"end\" - start, 0.5::DOUBLE)::DOUBLE AS median, round(avg(\"end\" - start), 9) AS mean, max(\"end\" - start)::INT AS longest FROM pt GROUP BY lang")
+def chunk_length_stats(spark, sf):
+    c = _chunks(spark, sf).drop("text").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return segment.length_stats(c, "lang").withColumn("mean", F.round("mean", 9)).withColumn("median", F.col("median").cast("double"))
+
+
+@query(f"""WITH {ASKED}, {CHUNKS}, {GOLD}, n AS (SELECT g.question_id, count(DISTINCT h.chunk_no) AS n FROM gold g JOIN chunks h ON g.doc_id = h.doc_id AND {OVER} GROUP BY 1)
+SELECT min(coalesce(n, 0)) AS least, round(avg(coalesce(n, 0)), 9) AS mean, max(coalesce(n, 0)) AS most, sum((coalesce(n, 0) = 0)::INT)::BIGINT AS n_zero FROM questions LEFT JOIN n USING (question_id)""")
+def relevant_counts(spark, sf):
+    counts = relevance.precision_ceiling(_questions(spark, sf), _chunks(spark, sf).drop("text"), _gold(spark, sf), 5, 40)
+    return relevance.relevant_distribution(counts).withColumn("mean", F.round("mean", 9))
+
+
+PROBES = """variants AS (SELECT item_id || '#original' AS question_id, item_id, 'original' AS label, text FROM benchmark UNION ALL SELECT item_id || '#paraphrase_1', item_id, 'paraphrase_1', array_to_string(list_filter(string_split(text, ' '), lambda w, i: (i - 1) % 3 = 0), ' ') FROM benchmark UNION ALL SELECT item_id || '#paraphrase_2', item_id, 'paraphrase_2', array_to_string(list_filter(string_split(text, ' '), lambda w, i: i < 4), ' ') FROM benchmark), questions AS (SELECT question_id, text FROM variants)"""
+PHRASED = f"""{PROBES}, {CHUNKS}, {bm25_sql('chunks', 'chunk_no', 10, 'top')}, hits AS (SELECT t.*, c.doc_id, c.start, c."end" FROM top t JOIN chunks c USING (chunk_no)), {GOLD.replace('gold AS', 'spans AS')}, gold AS (SELECT v.question_id, s.gold_idx, s.doc_id, s.start, s."end" FROM spans s JOIN variants v ON v.item_id = s.question_id),
+cov AS (SELECT g.question_id, count(DISTINCT g.gold_idx) AS n FROM gold g JOIN hits h ON g.question_id = h.question_id AND g.doc_id = h.doc_id AND {OVER} WHERE h.rank <= 5 GROUP BY 1), ng AS (SELECT question_id, count(*) AS n FROM gold GROUP BY 1),
+gp AS (SELECT h.question_id, min(greatest(0, g.start - h."end", h.start - g."end"))::INT AS gap FROM hits h JOIN gold g ON h.question_id = g.question_id AND h.doc_id = g.doc_id GROUP BY 1),
+ph AS (SELECT v.item_id AS question_id, v.label, coalesce(cov.n::DOUBLE / ng.n, 0) AS recall, gap IS NOT NULL AS doc_hit, gap, (SELECT max(score) FROM hits h WHERE h.question_id = v.question_id) AS top_score FROM variants v LEFT JOIN cov USING (question_id) LEFT JOIN ng USING (question_id) LEFT JOIN gp USING (question_id))"""
+
+
+def _phrased(spark, sf):
+    """Each item as it is, by every third word, and by its first three."""
+    asked = _questions(spark, sf).withColumn("question_type", F.lit("factual"))
+    words = F.split("text", " ")
+    variant = lambda keep: F.array_join(F.filter(words, keep), " ")
+    probes = _questions(spark, sf).select("question_id", F.array(variant(lambda w, i: i % 3 == 0), variant(lambda w, i: i < 3)).alias("paraphrases"))
+    probes = probes.union(spark.range(1).select(F.lit(-1).cast("long"), F.array(F.lit("of no known question"))))
+    return evaluation.evaluate_phrasings(lambda q: _hits(spark, sf, 10, q), asked, probes, _gold(spark, sf), 5)
+
+
+@query(f"WITH {PHRASED} SELECT * FROM ph")
+def phrasing_recall(spark, sf):
+    return _phrased(spark, sf).drop("question_type")
+
+
+@query(f"""WITH {PHRASED}, b AS (SELECT p.*, o.recall AS base FROM ph p JOIN ph o ON o.question_id = p.question_id AND o.label = 'original')
+SELECT label, round_even(avg(recall), 3) AS mean_recall, round_even(avg(doc_hit::INT), 3) AS doc_hit_rate, median(gap) AS median_gap, round_even(avg(recall - base), 3) AS mean_delta FROM b GROUP BY label""")
+def phrasing_rollup(spark, sf):
+    return relevance.paraphrase_rollup(_phrased(spark, sf))
+
+
+@query(f"""WITH {PHRASED}, d AS (SELECT question_id, avg(CASE WHEN label <> 'original' THEN recall END) - max(CASE WHEN label = 'original' THEN recall END) AS delta FROM ph GROUP BY 1)
+SELECT question_id, round(delta, 9) AS delta, CASE WHEN delta < -0.15 THEN 'fragile' WHEN delta < -0.05 THEN 'moderate' ELSE 'robust' END AS verdict FROM d ORDER BY delta, question_id LIMIT 5""")
+def worst_phrasings(spark, sf):
+    return relevance.worst(relevance.paraphrase_deltas(_phrased(spark, sf))).withColumn("delta", F.round("delta", 9))
+
+
+TALKS = """talk AS (SELECT conv_id AS question_id, CASE WHEN conv_id % 4 = 0 THEN 'baseline_noretrieval' ELSE 'fixed_dense_k5' END AS condition, max(CASE WHEN turn = 0 THEN text END) AS question, coalesce(max(CASE WHEN turn = 1 AND conv_id % 6 <> 0 THEN text END), '') AS answer, max(CASE WHEN turn = 0 THEN text END) AS reference_answer FROM conversations GROUP BY conv_id HAVING max(CASE WHEN turn = 0 THEN text END) IS NOT NULL),
+held AS (SELECT condition, question_id, 'faithfulness' AS metric, CASE WHEN question_id % 10 = 0 THEN 'nan'::DOUBLE ELSE 0.25::DOUBLE END AS score FROM talk WHERE question_id % 5 = 0)"""
+_tok = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:[.\-][a-z0-9]+)*')".format
+_share = lambda a, b: f"CASE WHEN len({_tok(a)}) = 0 THEN NULL ELSE len(list_intersect(list_distinct({_tok(a)}), {_tok(b)}))::DOUBLE / len(list_distinct({_tok(a)})) END"
+
+
+def _talks(spark, sf):
+    """Answers and questions from the conversations; every sixth answer is empty. Contexts are the first turn, twice."""
+    turn = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
+    t = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("question_id")).agg(turn(0).alias("question"), turn(1).alias("answer")).where("question is not null")
+    t = t.withColumn("answer", F.when(F.col("question_id") % 6 == 0, "").otherwise(F.coalesce("answer", F.lit(""))))
+    t = t.withColumn("condition", F.when(F.col("question_id") % 4 == 0, conditions.BASELINE).otherwise("fixed_dense_k5"))
+    contexts = F.when(F.col("condition") == conditions.BASELINE, F.array().cast("array<string>")).otherwise(F.array("question", "question"))
+    results = t.select("condition", "question_id", "answer", contexts.alias("contexts"))
+    questions = t.select("question_id", "question", F.col("question").alias("reference_answer"))
+    held = t.where("question_id % 5 = 0").select("condition", "question_id", F.lit("faithfulness").alias("metric"), F.when(F.col("question_id") % 10 == 0, F.lit(float("nan"))).otherwise(0.25).alias("score"))
+    return results, questions, held
+
+
+@query(f"""WITH {TALKS}, g AS (SELECT t.*, m AS metric, CASE WHEN t.condition = 'baseline_noretrieval' THEN '' ELSE question || chr(10) || question END AS ctx FROM talk t, (VALUES ('faithfulness'), ('answer_relevancy'), ('context_precision'), ('context_recall')) v(m) WHERE NOT (t.condition = 'baseline_noretrieval' AND m IN ('context_precision', 'context_recall'))),
+h AS (SELECT g.*, held.score AS held FROM g LEFT JOIN held ON held.condition = g.condition AND held.question_id = g.question_id AND held.metric = g.metric AND NOT isnan(held.score)),
+d AS (SELECT condition, question_id, row_number() OVER (PARTITION BY condition ORDER BY question_id) AS n FROM (SELECT DISTINCT condition, question_id FROM h WHERE held IS NULL)),
+j AS (SELECT h.*, coalesce(d.n <= 20, false) AND held IS NULL AS now FROM h LEFT JOIN d ON d.condition = h.condition AND d.question_id = h.question_id)
+SELECT condition, question_id, metric, round(coalesce(held, CASE WHEN now THEN CASE metric WHEN 'faithfulness' THEN {_share('answer', 'ctx')} WHEN 'answer_relevancy' THEN {_share('question', 'answer')} WHEN 'context_precision' THEN {_share('ctx', 'reference_answer')} ELSE {_share('reference_answer', 'ctx')} END END), 9) AS score, held IS NOT NULL AS from_cache, now AS scored_now FROM j""")
+def judged_scores(spark, sf):
+    """The first 20 answers of each condition that miss a score are judged; the others go along."""
+    results, questions, held = _talks(spark, sf)
+    return evaluation.score_condition(results, questions, held, evaluation.JUDGED, limit=20).withColumn("score", F.round("score", 9))
+
+
+LONG = """sc AS (SELECT CASE l_linenumber WHEN 1 THEN 'fixed_dense_k5' WHEN 2 THEN 'fixed_hybrid_k5' WHEN 3 THEN 'semantic_dense_k5' WHEN 4 THEN 'semantic_hybrid_k5' ELSE 'baseline_noretrieval' END AS condition, l_suppkey AS question_id, CASE l_returnflag WHEN 'A' THEN 'precision' WHEN 'N' THEN 'faithfulness' ELSE 'context_recall' END AS metric, round(avg(l_discount), 3) AS value FROM lineitem GROUP BY ALL)"""
+
+
+def _long(spark, sf):
+    """Scores in long form from suppliers' mean discounts: a condition a line number, a metric a return flag."""
+    condition = F.coalesce(*[F.when(F.col("l_linenumber") == i + 1, c) for i, c in enumerate(["fixed_dense_k5", "fixed_hybrid_k5", "semantic_dense_k5", "semantic_hybrid_k5"])], F.lit(conditions.BASELINE))
+    metric = F.when(F.col("l_returnflag") == "A", "precision").when(F.col("l_returnflag") == "N", "faithfulness").otherwise("context_recall")
+    return table(spark, sf, "lineitem").groupBy(condition.alias("condition"), F.col("l_suppkey").alias("question_id"), metric.alias("metric")).agg(F.round(F.avg("l_discount"), 3).alias("value"))
+
+
+_cells = [(f, a, b, m) for m in ("faithfulness",) for f, a, b in [("chunking", "semantic_dense_k5", "fixed_dense_k5"), ("chunking", "semantic_hybrid_k5", "fixed_hybrid_k5"), *[("any retrieval", f"{c}_{r}_k5", "baseline_noretrieval") for c in ("fixed", "semantic") for r in ("dense", "hybrid")]]]
+_cells += [("retrieval", f"{c}_hybrid_k5", f"{c}_dense_k5", m) for m in ("precision", "recall", "rr") for c in ("fixed", "semantic")]
+_cells += [("contexts by retrieval", f"{c}_hybrid_k5", f"{c}_dense_k5", m) for m in ("context_precision", "context_recall") for c in ("fixed", "semantic")]
+_cells += [("contexts by chunking", f"semantic_{r}_k5", f"fixed_{r}_k5", m) for m in ("context_precision", "context_recall") for r in ("dense", "hybrid")]
+FAMILIES = "fam AS (SELECT * FROM (VALUES " + ", ".join(str(c) for c in _cells) + ") v(family, a, b, metric))"
+
+
+@query(f"WITH {FAMILIES} SELECT * FROM fam")
+def comparison_families(spark, sf):
+    return evaluation.comparisons(spark)
+
+
+@query(f"""WITH {LONG}, {FAMILIES}, p AS (SELECT fam.*, x.value AS x, y.value AS y, x.value - y.value AS diff FROM fam JOIN sc x ON x.condition = a AND x.metric = fam.metric JOIN sc y ON y.condition = b AND y.metric = fam.metric AND y.question_id = x.question_id),
+k AS (SELECT family, a, b, metric, count(*) AS n, sum((diff = 0)::INT)::BIGINT AS n_ties, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(list_sort(list(diff))[count(*) // 2 + 1], 6) AS median_diff, round(coalesce(sum(sign(diff)) / nullif(sum((diff <> 0)::INT), 0), 0), 6) AS sign_rank_biserial FROM p GROUP BY ALL),
+u AS (SELECT family, a, b, metric, abs(diff) AS mag, diff, rank() OVER (PARTITION BY family, a, b, metric ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY family, a, b, metric, abs(diff)) - 1) / 2.0::DOUBLE AS r FROM p WHERE diff <> 0),
+s AS (SELECT family, a, b, metric, least(sum(CASE WHEN diff > 0 THEN r ELSE 0 END), sum(CASE WHEN diff < 0 THEN r ELSE 0 END)) AS w FROM u GROUP BY ALL)
+SELECT family, a, b, metric, n, n_ties, mean_x, mean_y, median_diff, sign_rank_biserial, w FROM k JOIN s USING (family, a, b, metric) WHERE n >= 6""")
+def analysis(spark, sf):
+    """All comparisons of the families; the test's p, its correction and intervals have no SQL and are tested elsewhere."""
+    out = evaluation.analyse(_long(spark, sf), evaluation.comparisons(spark), n_boot=1000)
+    return out.select("family", "a", "b", "metric", "n", "n_ties", *[F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "median_diff", "sign_rank_biserial")], "w")
+
+
+@query(f"WITH {LONG} SELECT condition, " + ", ".join(f"round(avg(value) FILTER (metric = '{m}'), 9) AS {m}, count(value) FILTER (metric = '{m}') AS {m}_n" for m in ("precision", "recall", "rr", "faithfulness", "answer_relevancy", "context_precision", "context_recall")) + " FROM sc GROUP BY condition")
+def run_summary(spark, sf):
+    out = evaluation.write_summary(_long(spark, sf))
+    return out.select("condition", *[F.round(c, 9).alias(c) if t == "double" else F.coalesce(c, F.lit(0).cast("long")).alias(c) for c, t in out.dtypes[1:]])
+
+
+@query(f"WITH {LONG}, o AS (SELECT condition, avg(value) AS observed FROM sc WHERE metric = 'precision' GROUP BY 1) SELECT c.condition, ceiling::DOUBLE AS ceiling, round(observed, 9) AS observed, CASE WHEN ceiling = 0 THEN 'nan'::DOUBLE ELSE round(observed / ceiling, 9) END AS attainment FROM (VALUES ('fixed_dense_k5', 0.5), ('fixed_hybrid_k5', 0.5), ('semantic_dense_k5', 0.0), ('semantic_hybrid_k5', 0.0), ('fixed_dense_k7', 0.5)) c(condition, ceiling) LEFT JOIN o USING (condition)")
+def attainment(spark, sf):
+    chosen = conditions.conditions(spark, baseline=False).select("condition", "chunking").union(conditions.conditions(spark, ("fixed",), ("dense",), (7,), baseline=False).select("condition", "chunking"))
+    ceilings = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("chunking"), F.lit(v).alias("ceiling")) for c, v in (("fixed", 0.5), ("semantic", 0.0))])))
+    out = evaluation.attainments(chosen, ceilings, _long(spark, sf))
+    return out.select("condition", "ceiling", F.round("observed", 9).alias("observed"), F.when(F.isnan("attainment"), F.col("attainment")).otherwise(F.round("attainment", 9)).alias("attainment"))
+
+
+@query(f"""WITH r AS (SELECT doc_id AS q, CASE WHEN toxic = 1 THEN '' ELSE substr(text, 1, 30) || chr(160) END AS answer, doc_id + toxic AS g, trim(substr(text, 1, CASE WHEN doc_id % 5 = 0 THEN 20 ELSE 60 END), {SPACES}) AS passage FROM documents JOIN labels USING (doc_id))
+SELECT q AS question_id, 0 AS gold_idx, d.doc_id, strpos(d.text, passage)::INT - 1 AS start, strpos(d.text, passage)::INT - 1 + length(passage)::INT AS "end", '' AS locator FROM r JOIN documents d ON d.doc_id = g WHERE contains(d.text, passage)""")
+def gold_spans(spark, sf):
+    return quality.gold_spans(_rows(spark, sf), table(spark, sf, "documents"))
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'other' WHEN doc_id % 3 = 0 THEN 'multi_step' ELSE 'factual' END AS kind FROM documents JOIN labels USING (doc_id) WHERE doc_id < 40)
+SELECT 'rows' AS what, NULL AS name, count(*) AS n FROM r UNION ALL SELECT 'verified', NULL, sum((quality = 1)::INT)::BIGINT FROM r UNION ALL SELECT 'type', kind, count(*) FROM r GROUP BY kind UNION ALL SELECT 'document', (doc_id + toxic)::VARCHAR, count(*) FROM r GROUP BY doc_id + toxic""")
+def set_summary(spark, sf):
+    """Without the counts of issues, which validator_issues has one by one."""
+    return quality.summary(_rows(spark, sf).where("question_id < 40"), table(spark, sf, "documents")).where("what not in ('errors', 'warnings')")
+
+
+@query("SELECT source AS doc_id, lang, coalesce(h, 'not recorded') AS sha256 FROM (SELECT DISTINCT source, lang FROM documents) LEFT JOIN (SELECT source, sha256(source) AS h FROM (SELECT DISTINCT source FROM documents) WHERE source LIKE 'src1%') USING (source)")
+def corpus_provenance(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("doc_id"), "lang").distinct()
+    report = d.select("doc_id").distinct().where("doc_id like 'src1%'").select("doc_id", F.sha2("doc_id", 256).alias("sha256"))
+    return quality.provenance(d, report)
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '12 May 2021' END AS published, CASE WHEN doc_id % 3 = 0 THEN '3  June 2022' END AS updated, (doc_id % 2)::INT AS n_footers, md5(CASE WHEN doc_id % 2 = 1 THEN chr(10) || ' tail' ELSE 'published: 12 May 2021 ' END || CASE WHEN doc_id % 3 = 0 THEN 'Last updated: 3  June 2022' ELSE '' END || ' end') AS digest FROM documents""")
+def page_footers(spark, sf):
+    """Footers and dates of made pages."""
+    odd = F.col("doc_id") % 2 == 1
+    text = F.concat(F.when(odd, "Title (AB1)\n© Press 2021. All rights reserved.\nmore\nPage 3 of\n 12 tail").otherwise("published: 12 May 2021 "), F.when(F.col("doc_id") % 3 == 0, "Last updated: 3  June 2022").otherwise(""), F.lit(" end"))
+    patterns = T.page_footers(r"[^\n]*\(AB\d+\)", "© Press")
+    rows = table(spark, sf, "documents").select("doc_id", text.alias("t"))
+    return rows.select("doc_id", T.dated(F.col("t"), "Published:").alias("published"), T.dated(F.col("t"), "Last updated:").alias("updated"), T.count_blocks(F.col("t"), patterns[0][0]).alias("n_footers"), F.md5(T.strip_blocks(F.col("t"), patterns)).alias("digest"))
+
+
+@query("SELECT conv_id, CASE WHEN n % 2 = 0 THEN n::DOUBLE WHEN n % 5 = 0 THEN NULL ELSE 0.5::DOUBLE END AS score FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)")
+def merged_scores(spark, sf):
+    """New scores of even counts replace old ones; NaN is no new score."""
+    n = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    old = n.where("n % 5 <> 0").select("conv_id", F.lit(0.5).alias("score"))
+    new = n.select("conv_id", F.when(F.col("n") % 2 == 0, F.col("n").cast("double")).otherwise(F.lit(float("nan"))).alias("score"))
+    out = quality.merged_scores(old, new, ["conv_id"])
+    return n.select("conv_id").join(out, "conv_id", "left")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 OR lang = 'en'")
+def cache_misses(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "lang")
+    cache = d.where("key % 3 = 0").select("key", F.when(F.col("lang") != "en", F.col("lang")).alias("payload"))
+    return tables.misses(d.select("key"), cache).withColumnRenamed("key", "doc_id")
+
+
+@query(f"WITH {SCORES} SELECT condition, question_id, metric, score FROM scores WHERE NOT isnan(score)")
+def purged_scores(spark, sf):
+    return tables.purge_nan(_scores(spark, sf))
+
+
+@query(f"WITH {SCORES} SELECT condition, question_id, metric FROM scores WHERE isnan(score)")
+def nan_scores(spark, sf):
+    return quality.nan_scores(_scores(spark, sf))
+
+
+@query("SELECT doc_id, 'Question: ' || substr(text, 1, 30) || chr(10) || 'Answer in short.' AS bare, md5('Numbered extracts:' || chr(10) || chr(10) || substr(text, 1, 50) || chr(10) || chr(10) || 'Question: ' || source || chr(10) || 'Use the extracts alone and name their numbers.') AS grounded, '2024-02-29T23:59:58+00:00' AS stamp, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}' AS json FROM documents")
+def prompts(spark, sf):
+    t = F.substring("text", 1, 30)
+    stamp = T.utc_stamp(F.timestamp_micros(F.lit(1709251198999999)))
+    return table(spark, sf, "documents").select("doc_id", T.bare_prompt(t).alias("bare"), F.md5(T.grounded_prompt(F.substring("text", 1, 50), F.col("source"))).alias("grounded"), stamp.alias("stamp"), F.to_json(F.struct("doc_id", "lang")).alias("json"))
+
+
+def _built(spark, sf, retrieval):
+    """The fixed chunks of the documents as a built index, one condition, and the degraded questions."""
+    c = conditions.one(spark, "fixed", retrieval)
+    index = tables.written(pipelines.build_index(pipelines.build_chunks(table(spark, sf, "documents").select("doc_id", "text"), c)), "built")
+    return index, _degraded(spark, sf), c
+
+
+@query()
+def condition_metrics(spark, sf):
+    index, asked, c = _built(spark, sf, "hybrid")
+    return evaluation.run_condition(index, asked, _gold(spark, sf), c).drop("text")
+
+
+@query()
+def answers(spark, sf):
+    index, asked, c = _built(spark, sf, "dense")
+    return evaluation.answer_questions(index, asked, c).select("question_id", "answer", "refusal", "context_chars", F.size("retrieved").alias("n_retrieved"), "condition")
+
+
+@query("SELECT item_id AS question_id, 'Question: ' || text || chr(10) || 'Answer in short.' AS prompt, 'The provided guideline extracts do not state this.' AS answer, true AS refusal, 'baseline_noretrieval' AS condition FROM benchmark")
+def baseline_answers(spark, sf):
+    c = conditions.conditions(spark).where("retrieval = 'none'").first()
+    return evaluation.answer_questions(None, _questions(spark, sf), c).select("question_id", "prompt", "answer", "refusal", "condition")

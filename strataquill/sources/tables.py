@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCORE = "score double"
-
+from strataquill.functions.text import strip
+from strataquill.sources.shared import written  # noqa: F401
 
 def read_pages(spark: SparkSession, path: str, pdf_text=None) -> DataFrame:
-    """(doc_id, page_no, text, source_format, sha256) of files. Text is UTF-8 cut at blank lines, blank parts dropped; a
-    file that starts with %PDF- goes to pdf_text, an Arrow UDF of bytes to array<string>, or else fails by name."""
+    """(doc_id, page_no, text, source_format, sha256) of files. Text is UTF-8, bytes that are not become U+FFFD,
+    cut at blank lines, blank parts dropped; a file that starts with %PDF- goes to pdf_text, an Arrow UDF of bytes to array<string>, or else fails by name."""
     files = spark.read.format("binaryFile").load(path)
     is_pdf = F.substring("content", 1, 5) == F.lit(b"%PDF-")
-    text = F.filter(F.split(F.decode("content", "UTF-8"), r"\n\s*\n"), lambda p: F.trim(p) != "")
+    whole = F.expr("make_valid_utf8(cast(content as string))")
+    text = F.filter(F.split(whole, r"\n\s*\n"), lambda p: strip(p) != "")
     pdf = pdf_text(F.col("content")) if pdf_text else F.raise_error(F.concat(F.lit("no PDF reader given for "), "path")).cast("array<string>")
     pages = files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), F.when(is_pdf, "pdf").otherwise("text").alias("source_format"), F.sha2("content", 256).alias("sha256"), F.when(is_pdf, pdf).otherwise(text).alias("pages"))
     return pages.select("doc_id", F.posexplode("pages").alias("page_no", "text"), "source_format", "sha256")
@@ -70,3 +71,19 @@ def write_guarded(df: DataFrame, problems: DataFrame, path: str) -> bool:
 
 def purge_nan(scores: DataFrame) -> DataFrame:
     return scores.where(~F.isnan("score"))
+
+
+def write_json(df: DataFrame, path: str, order: list[str]) -> None:
+    """A result of a few rows, in order, as one file of JSON lines."""
+    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Documents twice: all their columns as JSON lines, and their texts alone, a folder a document."""
+    docs.drop("text").write.mode("overwrite").json(f"{path}/json")
+    docs.select("doc_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\u0000").text(f"{path}/txt")
+
+
+def preview(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows, for a message."""
+    return df.orderBy(*order).limit(n)

@@ -1,15 +1,17 @@
 """Retrieval operators: hand-computed values, invariants, and islands against sequential folds."""
 
 import math
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strataquill.functions import text as T
 from strataquill.operators import quality, relevance, search, segment, stats
 from strataquill.plans import pipelines
-from strataquill.plans.config import RunConfig, core_conditions, judge_budget, topk_sweep
+from strataquill.plans.conditions import conditions, depths, judge_budget, one as condition
 
 
 def one(spark, expr):
@@ -51,12 +53,46 @@ def test_metrics(spark):
     assert gaps == {1: 0, 2: None, 3: None}
 
 
-def test_locate_gold_both_ways(spark):
-    docs = spark.createDataFrame([(1, "x" * 30 + "the quick brown fox jumps over it"), (2, "no"), (3, "the quick brown fox jumps over it")], "doc_id long, text string")
-    items = spark.createDataFrame([(5, "the quick brown fox jumps over"), (6, "no")], "question_id long, text string")
-    rows = [sorted(map(tuple, relevance.locate_gold(items, docs, direct=n).select("question_id", "gold_idx", "doc_id", "start", "end").collect())) for n in (100, 0)]
-    assert rows[0] == [(5, 0, 1, 30, 60), (5, 1, 3, 0, 30), (6, 0, 2, 0, 2)]
-    assert rows[1] == rows[0]
+def test_locate_gold(spark, tmp_path):
+    texts = ["x" * 30 + "the quick brown fox jumps over it", "no", "the quick brown fox jumps over it", "quick brown the fox jumps over", "xthe quick brown fox jumps overx. no", "Ünï çödé only", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = ["the quick brown fox jumps over", "no", "çödé", "fox jumps", "", "absent words of no document", "t", "the quick brown fox jumps over it and on"]
+    items = spark.createDataFrame(list(enumerate(wanted)), "question_id long, text string")
+    want = []
+    for q, w in enumerate(wanted):
+        found = [(d, t.find(w)) for d, t in enumerate(texts) if w and t and w in t]
+        want += [(q, n, d, at, at + len(w)) for n, (d, at) in enumerate(found)]
+    for index in (None, search.TextIndex(docs, "doc_id", str(tmp_path / "index"))):
+        rows = relevance.locate_gold(items, docs, index).select("question_id", "gold_idx", "doc_id", "start", "end").collect()
+        assert sorted(map(tuple, rows)) == want
+
+
+def test_kept_index_equals_one_pass(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("question_id"), "text")
+    index = search.TextIndex(docs, "doc_id", str(tmp_path / "index"), buckets=3)
+    assert sorted(map(tuple, index.bm25(asked, 4).collect())) == sorted(map(tuple, search.bm25(docs, asked, 4).select("question_id", "doc_id", "score", "rank").collect()))
+    plan = index.postings(spark.createDataFrame([("the",)], "term string"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_indexes_follow_their_table(spark, tmp_path):
+    from strataquill.plans.indexes import text_index
+
+    where = str(tmp_path / "t")
+    get = lambda: text_index(spark, where, "t", "doc_id", lambda: spark.read.parquet(where))
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(where)
+    first = get()
+    assert get() is first and first.n == 1
+    spark.createDataFrame([(2, "a c c")], "doc_id long, text string").write.mode("append").parquet(where)
+    assert get() is not first and (get().n, get().words) == (2, 5)
+
+
+def test_keep_zero(spark):
+    docs = spark.createDataFrame([(i, "a" if i == 7 else f"w{i}") for i in range(30)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a"), (2, "none at all")], "question_id long, text string")
+    out = search.bm25(docs, asked, 4, keep_zero=True).collect()
+    assert sorted((r.question_id, r["rank"], r.doc_id) for r in out) == [(1, 1, 7), (1, 2, 0), (1, 3, 1), (1, 4, 2), (2, 1, 0), (2, 2, 1), (2, 3, 2), (2, 4, 3)]
 
 
 def test_dense_blocks(spark):
@@ -64,6 +100,12 @@ def test_dense_blocks(spark):
     q = v.where("k < 4").select(F.col("k").alias("question_id"), "embedding")
     a, b = (sorted(map(tuple, search.dense(v, q, 3, "k", block).collect())) for block in (1, 1 << 20))
     assert a == b and len(a) == 12
+    rows = [(i, np.array([i % 5, i % 3, 1.0])) for i in range(40)]
+    want = [(i, j, round(float(x @ y), 9)) for i, x in rows[:4] for j, y in sorted(rows, key=lambda r: (-(x @ r[1]), r[0]))[:3]]
+    assert sorted((r.question_id, r.k, r.score) for r in search.dense(v, q, 3, "k").collect()) == sorted(want)
+    named = v.withColumn("k", F.format_string("c%02d", "k"))
+    assert sorted((r.question_id, int(r.k[1:]), r.score) for r in search.dense(named, q, 3, "k").collect()) == sorted(want)
+    assert search.dense(v, q.limit(0), 3, "k").count() == 0
 
 
 def test_merge_undersized_against_fold(spark):
@@ -107,25 +149,50 @@ def test_halve():
 
 def test_semantic_chunks_and_offsets(spark):
     docs = spark.createDataFrame([(1, "Cats purr. Cats sleep. Cats eat.\n\nTax law is long. Tax law is dull. Tax law is old.")], "doc_id long, text string")
-    chunks = pipelines.build_chunks(docs, RunConfig(chunking="semantic", semantic_percentile=80, min_chunk_chars=5))
+    chunks = pipelines.build_chunks(docs, condition(spark, "semantic", percentile=80.0, min_chars=5))
     checked = segment.check_offsets(chunks, docs)
     assert checked.where("exact").count() == chunks.count() >= 2
     moved = segment.check_offsets(chunks.withColumn("start", F.col("start") + 1), docs)
     assert moved.where("exact").count() == 0
     with pytest.raises(ValueError):
-        pipelines.build_chunks(docs, RunConfig(chunking="odd"))
+        pipelines.build_chunks(docs, condition(spark, "odd"))
+
+
+def exact_signed_rank_p(diffs):
+    """By all signs of the ranks."""
+    d = sorted((x for x in diffs if x), key=abs)
+    total = len(d) * (len(d) + 1) // 2
+    plus = sum(i for i, x in enumerate(d, 1) if x > 0)
+    low = min(plus, total - plus)
+    sums = [sum(i for i in range(1, len(d) + 1) if m >> (i - 1) & 1) for m in range(2 ** len(d))]
+    return min(1.0, 2 * sum(s <= low for s in sums) / 2 ** len(d))
 
 
 def test_stats(spark):
     diffs = [1.5, -0.5, 2.0, 0.0, 3.0, -1.0, 2.5]
-    pairs = spark.createDataFrame([("a", d, 0.0, d) for d in diffs] + [("b", 1.0, 0.0, 1.0)] * 5 + [("c", 0.0, 0.0, 0.0)] * 6, "f string, x double, y double, diff double")
+    clear = [1.5, -0.5, 2.0, 3.0, -1.0, 2.5, 0.25, 4.0]
+    pairs = spark.createDataFrame([("a", d, 0.0, d) for d in diffs] + [("b", 1.0, 0.0, 1.0)] * 5 + [("c", 0.0, 0.0, 0.0)] * 6 + [("d", d, 0.0, d) for d in clear], "f string, x double, y double, diff double")
     w = {r.f: r for r in stats.wilcoxon(pairs, "f").collect()}
-    assert set(w) == {"a", "c"} and (w["a"].w, w["a"].n_used) == (3.0, 6) and (w["c"].w, w["c"].p) == (0.0, 1.0)
-    assert math.isclose(stats.exact_signed_rank_p(diffs), 10 / 64)
+    assert set(w) == {"a", "c", "d"} and (w["a"].w, w["a"].n_used) == (3.0, 6) and (w["c"].w, w["c"].p) == (0.0, 1.0)
+    assert math.isclose(w["d"].p, exact_signed_rank_p(clear))
+    assert math.isclose(w["a"].p, math.erfc(abs(w["a"].z) / math.sqrt(2)), rel_tol=1e-6)
+    tails = spark.createDataFrame([(z / 4,) for z in range(-40, 41)], "z double").select("z", stats.two_sided(F.col("z")).alias("p")).collect()
+    assert all(math.isclose(r.p, math.erfc(abs(r.z) / math.sqrt(2)), rel_tol=2e-7) for r in tails)
     ps = spark.createDataFrame([("x", 0.01), ("y", 0.04), ("z", 0.03)], "id string, p double")
     assert {r.id: round(r.p_holm, 9) for r in stats.holm(ps, "p").collect()} == {"x": 0.03, "z": 0.06, "y": 0.06}
-    ci = {r.f: r for r in stats.bootstrap_ci(pairs, "f", 1000).collect()}
-    assert ci["a"].ci_low < sum(diffs) / 7 < ci["a"].ci_high and (ci["b"].ci_low, ci["b"].ci_high) == (1.0, 1.0)
+    medians = {r.f: r.median_diff for r in stats.effects(pairs, "f").collect()}
+    assert medians == {f: sorted(v)[len(v) // 2] for f, v in (("a", diffs), ("b", [1.0] * 5), ("c", [0.0] * 6), ("d", clear))}
+
+
+def test_bootstrap(spark):
+    rng = np.random.default_rng(5)
+    values = rng.normal(0.3, 1, 400).round(2).tolist()
+    pairs = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0)] * 5, "f string, diff double")
+    mean, wide = sum(values) / 400, 1.96 * float(np.std(values)) / 20
+    for block in (4096, 50):  # one block of values, and several
+        ci = {r.f: r for r in stats.bootstrap_ci(pairs, "f", 3000, block=block).collect()}
+        assert abs(ci["a"].ci_low - (mean - wide)) < 0.015 and abs(ci["a"].ci_high - (mean + wide)) < 0.015
+        assert (ci["b"].ci_low, ci["b"].ci_high) == (1.0, 1.0)
 
 
 def test_validator(spark):
@@ -137,11 +204,42 @@ def test_validator(spark):
     assert {m for q, m in got if q == "q2"} == {f"missing required field '{f}'" for f in ("question", "reference_answer", "gold_passages")}
 
 
-def test_config():
-    c = RunConfig(doc_ids=("b", "a"))
-    assert c.name() == "fixed_dense_k5" and c.index_name() == "a-b__fixed_1000_150" and len(c.fingerprint()) == 10
-    assert [x.name() for x in core_conditions()][-1] == "baseline_noretrieval" and len(topk_sweep(c)) == 3
-    assert judge_budget(60, 5, 3500, 0.3)["total_tokens"] == 1_050_000
+def test_conditions(spark):
+    grid = conditions(spark, docs=("b", "a"))
+    rows = {r.condition: r for r in grid.collect()}
+    assert len(rows) == 5 and rows["fixed_dense_k5"].index_name == "a-b__fixed_1000_150" == rows["fixed_hybrid_k5"].index_name
+    assert rows["baseline_noretrieval"].k == 0 and all(len(r.fingerprint) == 10 for r in rows.values()) and len({r.fingerprint for r in rows.values()}) == 5
+    assert rows["semantic_dense_k5"].index_name == "a-b__semantic_p85_b1_m2000"
+    assert condition(spark, docs=("b", "a")).fingerprint == rows["fixed_dense_k5"].fingerprint != condition(spark, size=999, docs=("b", "a")).fingerprint
+    assert sorted(r.condition for r in depths(grid, "fixed_dense_k5").collect()) == ["fixed_dense_k10", "fixed_dense_k3", "fixed_dense_k5"]
+    assert one(spark, judge_budget(F.lit(60), F.lit(5), F.lit(3500), 0.3)).total_tokens == 1_050_000
+    with pytest.raises(ValueError):
+        conditions(spark, top=3)
+
+
+def test_white_space(spark):
+    page = "HEADER\x85  Page 1 of 3\t\r\n\tbody one\xa0\u2028\t- item\x0b•\u3000dot\n\n"
+    assert one(spark, T.lines(F.lit(page))) == page.splitlines() and one(spark, T.lines(F.lit(""))) == []
+    odd = "".join(map(chr, [9, 28, 31, 32, 133, 160, 8232, 12288]))
+    assert one(spark, T.strip(F.lit(f"{odd}a{odd}b{odd}"))) == f"{odd}a{odd}b{odd}".strip()
+    assert one(spark, T.squeeze(F.lit(f"{odd}a{odd}b{odd}"))) == "a b"
+    pages = spark.createDataFrame([(1, i, page.replace("Page 1", f"Page {i}").replace("body one", f"body {i}")) for i in range(3)], "doc_id long, page_no int, text string")
+    furn = segment.furniture(pages)
+    assert {r.line for r in furn.collect()} == {"HEADER", "- item", "•\u3000dot"}
+    lines = segment.clean_lines(pages, furn.where("line <> '•\u3000dot'"))
+    assert sorted({r.line for r in lines.collect()}) == ["", "- dot", "body 0", "body 1", "body 2"]
+    docs = spark.createDataFrame([(1, "\tone\x0c\n\xa0\t- item\x85\n two\u2003\nthr-\nee")], "doc_id long, text string")
+    assert [r.text for r in segment.reflow(docs).orderBy("block_no").collect()] == ["one", "- item two three"]
+    tricky = one(spark, T.locate_span(F.lit("x a\\Eb.*  (c)\ny"), F.lit("a\\Eb.* (c)")))
+    assert (tricky.start, tricky.end) == (2, 13)
+
+
+def test_broken_utf8_pages(spark, tmp_path):
+    from strataquill.sources import tables
+
+    (tmp_path / "latin.txt").write_bytes("Café one.\n\nTwo".encode("latin-1"))
+    rows = tables.read_pages(spark, str(tmp_path)).orderBy("page_no").collect()
+    assert [r.text for r in rows] == ["Caf\ufffd one.", "Two"]
 
 
 def test_end_to_end(spark, tmp_path):
@@ -152,11 +250,11 @@ def test_end_to_end(spark, tmp_path):
     docs = pipelines.ingest(pages)
     text = docs.first().text
     assert "Header" not in text and "Metformin lowers glucose." in text
-    chunks = pipelines.build_chunks(docs.select("doc_id", "text"), RunConfig(chunk_size=40, chunk_overlap=0, min_chunk_chars=5))
+    chunks = pipelines.build_chunks(docs.select("doc_id", "text"), condition(spark, size=40, overlap=0, min_chars=5))
     index = pipelines.build_index(chunks.withColumn("chunk_no", F.col("ordinal").cast("long")))
     asked = spark.createDataFrame([(1, "statins lipids")], "question_id long, text string")
     for how in ("dense", "hybrid"):
-        top = pipelines.retrieve(index, asked, RunConfig(retrieval=how, top_k=1)).join(index, "chunk_no").first()
+        top = pipelines.retrieve(index, asked, condition(spark, "fixed", how, 1), "chunk_no").join(index, "chunk_no").first()
         assert "Statins" in top.text
     assert tables.write_table(docs, str(tmp_path / "t"), "f1") and not tables.write_table(docs, str(tmp_path / "t"), "f1") and tables.write_table(docs, str(tmp_path / "t"), "f2")
 
@@ -170,10 +268,28 @@ def test_score_files(spark, tmp_path):
     assert got["a", "q1"].score == 0.5 and math.isnan(got["a", "q2"].score) and got["b", "q1"].bad
 
 
-def test_without_corpus_operators():
+def test_without_corpus_operators(tmp_path):
+    """The rest stands without the corpus operators, and a broken one is not passed over in silence."""
+    import shutil
+    import subprocess
+    import sys
+
     import __spark_entry__ as e
 
-    assert "bm25_top5" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+    home = os.path.dirname(os.path.abspath(e.__file__))
+    names = subprocess.run(["git", "-C", home, "ls-files", "*.py"], capture_output=True, text=True, check=True).stdout.split()
+    for name in names:
+        if os.path.exists(f"{home}/{name}") and not name.startswith(("strataquill/llm/", "tests/")) and name != "corpus_pipeline.py":
+            os.makedirs(os.path.dirname(f"{tmp_path}/{name}"), exist_ok=True)
+            shutil.copy(f"{home}/{name}", f"{tmp_path}/{name}")
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'bm25_top5' in q and set(o) <= set(q) and not any(n.startswith('op1') for n in q); print(len(q))"
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert int(run().stdout) > 40
+    os.makedirs(tmp_path / "strataquill/llm")
+    (tmp_path / "strataquill/llm/__init__.py").write_text("")
+    (tmp_path / "strataquill/llm/queries.py").write_text("import a_missing_dependency")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    assert "a_missing_dependency" in run().stderr
 
 
 def test_postings_of_empty_texts(spark):
@@ -193,7 +309,7 @@ def test_follow_appends_new_files_once(spark, tmp_path):
 
     first = turn([(1, "One sentence here. " * 20)])
     assert {d for d, _ in first} == {1}
-    both = turn([(2, "Another sentence there. " * 20)])
+    both = turn([(2, "Another sentence there. " * 20), (1, "The first document once more. " * 20)])
     assert {d for d, _ in both} == {1, 2} and [x for x in both if x[0] == 1] == first
     follow(spark, source, "doc_id long, text string", target, at).awaitTermination()
     assert sorted((r.doc_id, r.text) for r in spark.read.parquet(target).collect()) == both
