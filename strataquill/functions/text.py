@@ -50,8 +50,10 @@ def lines(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Runs of white space to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{SPACES}]+", " "))
+    """Runs of white space to one blank, none at the ends. Single blanks are no match, which spares most of the work."""
+    plain = F.regexp_replace(c, r"[\s\x1c-\x1f]{2,}|[\t\n\x0b\f\r\x1c-\x1f]", " ")
+    wide = F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]{2,}|(?! )[\s\x1c-\x1f]", " ")
+    return F.trim(F.when(F.octet_length(c) == F.length(c), plain).otherwise(wide))
 
 
 def strip_blocks(c: Column, patterns: list[tuple[str, str]]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquill.functions.text import locate_span, squeeze, strip
+from strataquill.sources.shared import written
 
 # The limits and types of the row validator.
 TYPES = ["factual", "comparative", "multi_step"]
@@ -78,7 +79,7 @@ def near_duplicates(rows: DataFrame, key: str, text: str, order: str) -> DataFra
     """(key, first): later rows whose text equals an earlier one up to case and white space.
 
     Texts meet by digest: the first of each is found by an aggregation, and no text is sorted or moved."""
-    same = rows.select(key, order, F.md5(F.lower(squeeze(F.col(text)))).alias("norm"))
+    same = written(rows.select(key, *{order} - {key}, F.md5(F.lower(squeeze(F.col(text)))).alias("norm")), "digests")
     place = F.struct(order, key)
     firsts = same.groupBy("norm").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("norm", "a", F.col(f"a.{key}").alias("first"))
     return same.join(firsts, "norm").where(place > F.col("a")).select(key, "first")
