@@ -295,7 +295,7 @@ def verified_links(docs: DataFrame, prints: DataFrame, similarity: float, width:
     mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     other = F.explode(F.when(F.col("parts") > 1, F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != mine)).otherwise(F.array(F.lit(0))))
     placed = salted.withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn("other", other)
-    placed = placed.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    placed = materialise(placed.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", F.col("doc_id").alias("d"), F.col("th").alias("t")), "placed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text").join(placed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,9 +331,10 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, part: i
     nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("row"))
     linked = nodes.join(found, F.col("node") == F.col("member"), "left")
     keep = materialise(linked.groupBy(F.coalesce("root", "node")).agg(F.min("row").alias("row")).select("row.*"), "keep")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), text_hash().alias("t"))
-    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))
-    return keyed.join(keep, same, "left_semi").dropDuplicates(["d", "t"]).select("row.*")
+    keep = keep.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("n"), F.col("th").alias("t"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("n"), text_hash().alias("t"))
+    # one shuffle serves the join and the repeated rows: both are by the same columns
+    return keyed.join(keep, ["d", "n", "t"], "left_semi").dropDuplicates(["d", "n", "t"]).select("row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
