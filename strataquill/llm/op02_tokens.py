@@ -21,10 +21,11 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataquill.llm.common import new_path, text_hash
+from strataquill.llm.common import as_text, new_path, text_hash
 
 # The values a word holds and their bits, by selector (selectors 0 and 1: runs of zeros).
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2], np.int64)
@@ -35,7 +36,7 @@ BLOCK = 1024
 SEGMENT = 262_144
 END_ID = 2
 #: Chunks an encoder remembers (some 200 bytes each), and bytes of text it takes at once.
-REMEMBER, SLICE = 1_000_000, 4_000_000
+REMEMBER, SLICE = 1_000_000, 8_000_000
 _U = np.uint64
 
 
@@ -194,26 +195,26 @@ class Encoder:
         flat = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
         return alpha + rest, np.concatenate([ids, flat]), np.concatenate([sizes, np.fromiter(map(len, lists), np.int64, len(lists))])
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each followed by END_ID; counts)."""
+    def encode(self, texts: pa.Array | list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by END_ID; counts). Arrow splits the texts and numbers their distinct chunks,
+        so that only those become Python objects."""
         if len(self.known) > self.remember or len(self.flat) > 8 * self.remember:
             self._reset()
-        split = [(t if b"<|" in (t or b"") else (t or b"").lower()).split() for t in texts]
-        known, words = self.known, list(chain.from_iterable(split))
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else as_text(texts), "")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        # letters and a stop after them are separate pieces
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([A-Za-z])([.,])([\t\n\v\f\r ]|$)", r"\1 \2\3"))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        known = self.known
         found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
         missed = np.flatnonzero(found < 0).tolist()
         if missed:
-            new = {words[i] for i in missed}
-            # letters and a stop after them are separate pieces
-            stems = {c: s for c in new if c[-1:] in b".," and (s := c[:-1])[-1:].isalpha()}
-            if stems:
-                new = {*new, *stems.values(), b".", b","} - known.keys() - stems.keys()
-            self._add(*self._look_up(list(new)))
-            if stems:
-                pairs = np.array([known[x] for c, s in stems.items() for x in (s, c[-1:])])
-                self._add(list(stems), self._ids(pairs), self.sizes[pairs].reshape(-1, 2).sum(1))
-            found[missed] = [known[words[i]] for i in missed]
-        ends = np.cumsum([len(p) for p in split])
+            new = [words[i] for i in missed]
+            self._add(*self._look_up(new))
+            found[missed] = [known[c] for c in new]
+        found = found[coded.indices.to_numpy()]
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
         took = np.insert(self.sizes[found], ends, 1)
         upto = np.cumsum(took)
         last = upto[ends + np.arange(len(ends))]
@@ -261,7 +262,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
         encoder, shard, seg = _encoders[where, remember], TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in _slices(batch, slice_bytes):
-                ids, counts = encoder.encode(rows.column(1).cast(pa.binary()).to_pylist())
+                ids, counts = encoder.encode(rows.column(1))
                 names, upto = rows.column(0).to_pylist(), np.cumsum(counts)
                 out, first = [], 0
                 while first < len(names):

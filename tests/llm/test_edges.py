@@ -76,6 +76,27 @@ def test_tokens_of_broken_bytes():
     assert ids.tolist() == sum(want, [])
 
 
+def test_tokens_equal_the_library():
+    """Random strings of awkward pieces, and every code point up to U+3000 before, after and between letters and stops."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from strataquill.llm.op02_tokens import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder, rng = Tokenizer.from_file(path), Encoder(path), random.Random(1)
+    pieces = list("abcXYZ.,.,  \n\t\x0b\x0c\r'\"-_01 éßİКकिß日本") + ["<|endoftext|>", "<|", "'s", "'ll", ". ", ",", "\u0958", " ", " ", "ﬁ", "\u200b", "e\u0301", "\U0001f600", "\x1c", "\x85", ".."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(5000)]
+    texts += [f"{chr(c)}. a{chr(c)}b z.{chr(c)} {chr(c)}" for c in range(0x3000)]
+    for i in range(0, len(texts), 500):
+        some = texts[i : i + 500]
+        ids, counts = encoder.encode([x.encode() for x in some])
+        want = [library.encode(x, add_special_tokens=False).ids + [2] for x in some]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 def test_scratch_is_deleted(spark):
     import os
 
