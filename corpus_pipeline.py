@@ -36,7 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token file's digests: doc_id, start, n_tokens, ids_crc32.
 
     Python workers outlive their stage, so the encoders remember less than they would alone."""
-    return encode_corpus(docs, remember=200_000, slice_bytes=1_000_000)
+    return encode_corpus(docs, remember=400_000, slice_bytes=4_000_000)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mixture", mixture), ("tokens", tokens)]
