@@ -7,25 +7,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions.text import overlap, strip, tokens
-from strataquill.operators.search import TextIndex, postings
-from strataquill.sources.shared import written
+from strataquill.operators.search import TextIndex, TextScan
+from strataquill.sources.shared import new_path, written
 
+#: Pairs of questions and documents up to this number travel to the documents' texts; more are met by a shuffle.
+TRAVEL = 1_000_000
 
-def locate_gold(items: DataFrame, docs: DataFrame, index: TextIndex | None = None, probe: int = 24) -> DataFrame:
+
+def locate_gold(items: DataFrame, docs: DataFrame, index: TextIndex | TextScan | None = None, probe: int = 24) -> DataFrame:
     """(question_id, gold_idx, doc_id, start, end): the leftmost place of each item's text in each document.
 
     A document that holds an item holds all its words but for the first and last, which may go on. So items meet
-    documents by equality on the rarest of these words, with the postings of a kept index over docs or of one pass over
-    them, and what meets is verified. Items of fewer than three words meet them on their first characters instead."""
+    documents by equality on the rarest of these words, with the postings of a kept index or scan of docs or of a new scan,
+    and what meets is verified. Items of fewer than three words meet them on their first characters instead."""
     asked = items.select("question_id", F.col("text").alias("item"), tokens(F.col("text")).alias("t")).where("item <> ''")
     inner = asked.where(F.size("t") > 2).select("question_id", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
-    if index is None:
-        post = written(postings(docs.select("doc_id", "text"), "doc_id", inner).select("doc_id", "term"), "anchors")
-        counts = post.groupBy("term").agg(F.count("*").alias("n"))
-    else:
-        post, counts = index.postings(inner).select(F.col(index.key).alias("doc_id"), "term"), index.frequencies(inner)
-    rarest = inner.join(counts, "term").groupBy("question_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
-    found = rarest.join(post, "term").select("question_id", "doc_id")
+    index = index or TextScan(docs.select("doc_id", "text"), "doc_id", new_path(docs.sparkSession, "terms"))
+    rarest = inner.join(index.frequencies(inner), "term").groupBy("question_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
+    rarest = written(rarest, "rarest")
+    found = rarest.join(index.postings(rarest).select(F.col(index.key).alias("doc_id"), "term"), "term").select("question_id", "doc_id")
     short = asked.where(F.size("t") <= 2)
     least = short.agg(F.min(F.length("item"))).first()[0]
     if least is not None:
@@ -33,7 +33,10 @@ def locate_gold(items: DataFrame, docs: DataFrame, index: TextIndex | None = Non
         starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(size)))
         grams = docs.select("doc_id", F.explode(F.array_distinct(starts)).alias("gram"))
         found = found.union(grams.join(short.select("question_id", F.substring("item", 1, size).alias("gram")), "gram").select("question_id", "doc_id"))
-    pairs = found.join(asked.select("question_id", "item"), "question_id").join(docs.select("doc_id", "text"), "doc_id")
+    found = written(found, "found")
+    if found.count() <= TRAVEL:
+        found = F.broadcast(found)  # the texts stay where they lie
+    pairs = docs.select("doc_id", "text").join(found, "doc_id").join(asked.select("question_id", "item"), "question_id")
     at = F.position("item", "text") - 1
     spans = pairs.select("question_id", "doc_id", at.alias("start"), (at + F.length("item")).alias("end")).where("start >= 0")
     return spans.withColumn("gold_idx", F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id")) - 1)

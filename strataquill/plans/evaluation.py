@@ -117,7 +117,7 @@ def run_condition(index: DataFrame | None, questions: DataFrame, gold: DataFrame
     if condition.retrieval == "none":
         nothing = [F.lit(None).cast("double").alias(c) for c in RUN_METRICS]
         return questions.select("*", *nothing, F.lit(None).cast("boolean").alias("hit"), F.lit(condition.condition).alias("condition"))
-    hits = hits_of(index, questions, condition, key, lexical).drop("text")
+    hits = tables.written(hits_of(index, questions, condition, key, lexical).drop("text"), "hits")
     return relevance.question_metrics(questions, hits, gold, condition.k, min_overlap).withColumn("condition", F.lit(condition.condition))
 
 

@@ -59,9 +59,8 @@ def encode_query(c: Column, prefix: str = "", encode_fn=encode) -> Column:
 
 def build_index(chunks: DataFrame, encode_fn=encode, dims: int = 64) -> DataFrame:
     """chunks with `embedding`; the vector lies in the chunk's row, and a wrong size fails."""
-    v = chunks.withColumn("embedding", encode_fn(F.col("text")))
-    ok = F.assert_true(F.size("embedding") == dims, "embedding has a wrong dimension")
-    return v.where(ok.isNull())
+    v = chunks.withColumn("embedding", encode_fn(F.col("text")))  # a filter on it would encode each text twice
+    return v.withColumn("embedding", F.when(F.size("embedding") == dims, F.col("embedding")).otherwise(F.raise_error(F.lit("embedding has a wrong dimension"))))
 
 
 def retrieve(index: DataFrame, questions: DataFrame, condition: Row, key: str = "chunk_id", encode_fn=encode, lexical=None, prefix: str = "") -> DataFrame:
