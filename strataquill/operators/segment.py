@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,36 +165,90 @@ def chunk_fixed(docs: DataFrame, size: int = 1000, overlap: int = 150) -> DataFr
     return _spread(docs, lambda t: fixed_spans(t, size, overlap))
 
 
-def split_oversized(spans: DataFrame, docs: DataFrame, most: int) -> DataFrame:
-    """spans (doc_id, start, end) cut to at most `most` characters; texts join by doc_id, one row a span group."""
-    grouped = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+# What white space is to Java's regular expressions.
+BLANKS = " \t\n\x0b\f\r"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for d, t, xs in zip(b["doc_id"], b["text"], b["spans"]):
-                for x in xs:
-                    for s, e in halve(t, int(x["start"]), int(x["end"]), most):
-                        body = t[s:e]
-                        if body.strip():
-                            rows.append((d, s + len(body) - len(body.lstrip()), s + len(body.rstrip())))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end"])
 
-    return docs.select("doc_id", "text").join(grouped, "doc_id").mapInPandas(run, "doc_id long, start long, end long")
+def sentences_of(text: str) -> list[tuple[int, int]]:
+    """The spans of sentence_spans for one text."""
+    out, at = [], 0
+    for para in text.split("\n\n"):
+        cuts = [0, *(m.start(1) for m in re.finditer(rf"[.!?]([{BLANKS}]+)", para)), len(para)]
+        for i, (s, e) in enumerate(zip(cuts, cuts[1:])):
+            body = para[s:e].lstrip(BLANKS)
+            if body:
+                out.append((at + (e - len(body) if i else s), at + e))
+        at += len(para) + 2
+    return out
+
+
+def limit_of(dist: np.ndarray, share: float) -> float:
+    """Spark's percentile: linear between the two nearest places."""
+    x, at = np.sort(dist), (len(dist) - 1) * share
+    low, high = math.floor(at), math.ceil(at)
+    return x[low] if x[low] == x[high] else (high - at) * x[low] + (at - low) * x[high]
 
 
 def chunk_semantic(docs: DataFrame, encode, percentile: float = 85.0, buffer: int = 1, max_chars: int = 2000, min_chars: int = 0) -> DataFrame:
     """(doc_id, start, end): sentences are cut where neighbouring contexts differ most. encode: Column of texts to
-    Column of unit vectors (native, or an Arrow UDF that loads its model once a worker)."""
-    from strataquill.functions.vectors import dot
-
-    spans = sentence_spans(docs)
-    sents = spans.join(docs.select("doc_id", "text"), "doc_id").withColumn("sentence", F.expr("substring(text, int(start) + 1, int(end - start))")).drop("text")
-    vectors = context_windows(sents, buffer).withColumn("embedding", encode(F.col("context")))
-    parts = breakpoints(distance_profile(vectors, "doc_id", "sent_no", dot), "doc_id", "sent_no", percentile)
-    whole = parts.groupBy("doc_id", "segment").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cut = split_oversized(whole, docs, max_chars)
-    return merge_undersized(cut, min_chars) if min_chars else cut
+    Column of unit vectors (native, or an Arrow UDF that loads its model once a worker).
+
+    A document's sentences follow each other in one task, before and after they are encoded, so nothing is shuffled; the
+    first of them carries the text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "start", "end", "last", "context", "text"]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                spans = sentences_of(text)
+                said = [text[s:e] for s, e in spans]
+                for n, (s, e) in enumerate(spans):
+                    ids.append(i)
+                    rows.append((s, e, n == len(spans) - 1, " ".join(said[max(0, n - buffer):n + buffer + 1]), None if n else text))
+                    if len(rows) >= 4096:
+                        yield packed(batch, ids, rows)
+                        ids, rows = [], []
+            if rows:
+                yield packed(batch, ids, rows)
+
+    def packed(batch: pa.RecordBatch, ids: list, rows: list) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            ends = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False)) + 1
+            if not len(ends):
+                held.append(batch)  # a document of many sentences goes on
+                continue
+            t = pa.Table.from_batches([*held, batch.slice(0, ends[-1])]).combine_chunks()
+            held = [batch.slice(ends[-1])] if ends[-1] < batch.num_rows else []
+            vectors = t["embedding"].combine_chunks().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            product = np.zeros(max(0, len(vectors) - 1))
+            for j in range(vectors.shape[1]):  # in the order in which `dot` adds
+                product += vectors[:-1, j] * vectors[1:, j]
+            dist, start, end = 1 - product, t["start"].to_numpy(), t["end"].to_numpy()
+            texts, ids, spans, first = t["text"], [], [], 0
+            for stop in np.flatnonzero(t["last"].to_numpy(zero_copy_only=False)) + 1:
+                own, text = dist[first:stop - 1], texts[first].as_py()
+                cuts = np.flatnonzero(np.round(own, 9) > np.round(limit_of(own, percentile / 100), 9)) + first + 1 if len(own) else []
+                for a, b in zip([first, *cuts], [*cuts, stop]):
+                    for s, e in halve(text, int(start[a]), int(end[b - 1]), max_chars):
+                        body = text[s:e]
+                        if body.strip():
+                            ids.append(first)
+                            spans.append((s + len(body) - len(body.lstrip()), s + len(body.rstrip())))
+                first = stop
+            if spans:
+                yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks().take(pa.array(ids)), *[pa.array(c, pa.int64()) for c in zip(*spans)]], ["doc_id", "start", "end"])
+
+    sents = docs.select("doc_id", "text").where("text is not null").mapInArrow(split, f"doc_id {kind}, start long, end long, last boolean, context string, text string")
+    vectors = sents.select("doc_id", "start", "end", "last", "text", encode(F.col("context")).alias("embedding"))
+    spans = vectors.mapInArrow(cut, f"doc_id {kind}, start long, end long")
+    return merge_undersized(spans, min_chars) if min_chars else spans
 
 
 def check_offsets(chunks: DataFrame, docs: DataFrame) -> DataFrame:
