@@ -313,3 +313,48 @@ def test_follow_appends_new_files_once(spark, tmp_path):
     assert {d for d, _ in both} == {1, 2} and [x for x in both if x[0] == 1] == first
     follow(spark, source, "doc_id long, text string", target, at).awaitTermination()
     assert sorted((r.doc_id, r.text) for r in spark.read.parquet(target).collect()) == both
+
+
+def test_mean_scores_round_exact_halves_up(spark, tmp_path):
+    from strataquill.plans import queries
+
+    cents = [3, 10, 3, 2, 1, 1, 7, 9, 10, 9, 4, 0, 8, 10, 8, 4, 8, 4, 5, 9, 5, 10, 6, 6, 5, 8, 7, 5, 3, 6, 9, 1, 5, 5, 5, 9, 7, 7, 7, 3]  # mean 0.0585
+    rows = [(1, 1, "R", c / 100) for c in cents]
+    spark.createDataFrame(rows, "l_linenumber int, l_suppkey long, l_returnflag string, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.value for r in queries._long(spark, str(tmp_path)).collect()] == [0.059]
+
+
+def test_scan_equals_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 9))) for _ in range(300)]
+    docs = spark.createDataFrame([*((f"k{i}", t) for i, t in enumerate(texts)), ("k", None)], "chunk_id string, text string").repartition(3)
+    questions = {q: [rng.choice("abcdefghijz") for _ in range(4)] for q in range(9)}
+    asked = spark.createDataFrame([(q, " ".join(w)) for q, w in questions.items()], "question_id long, text string")
+    own = {f"k{i}": t.split() for i, t in enumerate(texts)} | {"k": []}
+    df = {w: sum(w in t for t in own.values()) for w in "abcdefghij"}
+    n, mean = len(own), sum(map(len, own.values())) / len(own)
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    floor = sum(raw.values()) / len(raw)
+    want = set()
+    for q, words in questions.items():
+        score = {k: round(sum((0.25 * floor if raw[w] < 0 else raw[w]) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in words if w in t), 6) for k, t in own.items() if set(words) & set(t)}
+        want |= {(q, k, s, i + 1) for i, (k, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5])}
+    scan = search.TextScan(docs, "chunk_id", str(tmp_path / "terms"))
+    got = scan.bm25(asked, 5)
+    assert {tuple(r) for r in got.select("question_id", "chunk_id", "score", "rank").collect()} == want
+    assert "postings" not in [p.name for p in tmp_path.iterdir()]
+
+
+def test_semantic_chunks_equal_sentences_by_windows(spark):
+    from strataquill.functions.vectors import dot
+
+    texts = ["One two. Three four!  Five.\n\n Six seven? Eight\nnine. \t", "", "No end", None, "a. b. c. d. e. f. g. h.", "\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = segment.sentence_spans(docs)
+    sents = spans.join(docs, "doc_id").withColumn("sentence", F.expr("substring(text, int(start) + 1, int(end - start))")).drop("text")
+    vectors = segment.context_windows(sents).withColumn("embedding", pipelines.encode(F.col("context")))
+    parts = segment.breakpoints(segment.distance_profile(vectors, "doc_id", "sent_no", dot), "doc_id", "sent_no", 85.0)
+    whole = {(r.doc_id, texts[r.doc_id][r.a:r.b].strip()) for r in parts.groupBy("doc_id", "segment").agg(F.min("start").alias("a"), F.max("end").alias("b")).collect()}
+    out = segment.chunk_semantic(docs, pipelines.encode)
+    assert {(r.doc_id, texts[r.doc_id][r.start:r.end]) for r in out.collect()} == whole
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
